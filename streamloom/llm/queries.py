@@ -6,19 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import chat, html, packing, quality
+from streamloom.llm import chat, html, near_dup, packing, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     return chat.digest(chat.expand(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -33,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op8_quality_rules, op9_html_extraction, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_chat_formatting, op4_pii, op6_secret_scan, op8_quality_rules, op9_html_extraction, op10_packing)}
 
 #: Escaped texts and roles grow by one for each backslash and each "<|" (and each line end in a role).
 ORACLE_SQL = {
