@@ -19,7 +19,12 @@ def _ms(t) -> int:
 
 
 class LongRides(StatefulProcessor):
-    """Emits a START whose END has not come within the limit of its event time; ``limit_ms`` later the state is cleared."""
+    """Emits a START whose END has not come within the limit of its event time.
+
+    A START waits for its END until the watermark passes the limit. An END that comes in time for the engine,
+    but after the limit by its own time, gives the alert at once, so the result does not depend on how the
+    stream is cut into batches. An END that comes first waits as long for its START.
+    """
 
     OUTPUT = "ride_id long, started timestamp"
 
@@ -32,12 +37,18 @@ class LongRides(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         for row in rows:
-            if not self.held.exists() or not row.is_start:
-                if self.held.exists():
-                    self.handle.deleteTimer(_ms(self.held.get()[1]) + self.limit_ms)
+            if not self.held.exists():
                 self.held.update((row.is_start, row.event_time))
                 self.handle.registerTimer(_ms(row.event_time) + self.limit_ms)
-        return iter(())
+                continue
+            was_start, at = self.held.get()
+            if was_start == row.is_start:
+                continue
+            started, ended = (at, row.event_time) if was_start else (row.event_time, at)
+            self.held.clear()
+            self.handle.deleteTimer(_ms(at) + self.limit_ms)
+            if _ms(ended) > _ms(started) + self.limit_ms:
+                yield Row(ride_id=key[0], started=started)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.held.exists():
