@@ -59,7 +59,7 @@ def _kept(kind: str) -> Callable[[Column], Column]:
 
 def _keep(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
     n = F.length(_digits(m))
     if kind == "card":
         return n.between(14, 19) & _luhn(_digits(m))

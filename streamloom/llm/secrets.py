@@ -54,7 +54,7 @@ def _keep(kind: str, m: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    bare = F.rtrim(F.lit("="), token)
+    bare = F.rtrim(token, F.lit("="))
     return F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
 
 
@@ -67,7 +67,7 @@ def _tail(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """struct(encoding, length, p): the joint p-value of the three tests that the token is random."""
     kind = encoding(token)
-    bare = F.translate(F.rtrim(F.lit("="), token), "-_", "+/")
+    bare = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     bare = F.when(kind == "hex", F.lower(bare)).otherwise(bare)
     letters = F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair))
     codes = F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.instr(F.element_at(letters, kind), c).cast("double"))
