@@ -1,9 +1,9 @@
 """HTML extraction: nearest-URL page differencing.
 
 Pages are laid out in order of host and URL path, so that a page stands beside
-the pages of its host whose path is nearest to its own. Its lines of text are
-aligned with those of its neighbour by longest common subsequence, and lines
-that both share are template and deleted. Markup is read first: scripts,
+the pages of its host whose paths are nearest to its own. Its lines of text are
+aligned with those of either neighbour by longest common subsequence, and lines
+that it shares with one are template and deleted. Markup is read first: scripts,
 styles, menus, headers, footers, sidebars, notices, adverts, forms and comments
 never become lines. Lines inside an ``article`` or ``main`` element are the
 article by the page's own word; shared with a neighbour they are a copied
@@ -11,9 +11,9 @@ article, not template, and stay. If a page has such an element, what stands
 outside it is not its main text.
 
 Pages are range-partitioned by host and path, so a host with a third of all
-pages spreads over many tasks; a page whose neighbours are in another partition
-is compared with the one it has there, and with none if it is alone, which only
-matters for lines outside an ``article``.
+pages spreads over many tasks; a page at the edge of a partition has one
+neighbour, or none if it is alone there, which only matters for lines outside
+an ``article``.
 
 Nulls: a null html is empty and gives an empty text; a null url has host ''.
 Repeated pages are compared with other texts only, never with their own copies.
@@ -146,21 +146,21 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    """The lines of a page that stay after differencing with its neighbour, joined by empty lines."""
-    if neighbour:
-        shared = common([t for t, _ in own], [t for t, _ in neighbour])
-        own = [x for i, x in enumerate(own) if i not in shared or x[1]]
+def main_text(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
+    """The lines of a page that stay after differencing with its neighbours, joined by empty lines."""
+    lines = [t for t, _ in own]
+    shared = set().union(*(common(lines, [t for t, _ in other]) for other in neighbours))
+    own = [x for i, x in enumerate(own) if i not in shared or x[1]]
     article = [t for t, marked in own if marked]
     return "\n\n".join(article or [t for t, _ in own])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of host and path; each is compared with a neighbour of its host."""
-    before = held = None  # the last other text of the host; the row that waits for its successor
+    """Rows come in order of host and path; each is compared with those before and after it of its host."""
+    before = held = None  # the last other page of the host; the page that waits for its successor
 
-    def finish(row: tuple, other: list | None) -> tuple:
-        text = main_text(row[3], other)
+    def finish(row: tuple, after: tuple | None) -> tuple:
+        text = main_text(row[3], [x[3] for x in (before, after) if x and x[2] == row[2] and x[3] != row[3]])
         return row[0], row[1], text, len(text)
 
     for batch in batches:
@@ -168,17 +168,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, url, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
             row = (page, url, host, blocks(html or ""))
             if held:
-                near = row[3] if row[2] == held[2] and row[3] != held[3] else None
-                if before and before[0] == held[2] and before[1] != held[3]:
-                    near = before[1]
-                done.append(finish(held, near))
-                if not before or before[0] != held[2] or held[3] != row[3]:
-                    before = (held[2], held[3])
+                done.append(finish(held, row))
+                if held[3] != row[3]:
+                    before = held
             held = row
         if done:
             yield _batch(done)
     if held:
-        yield _batch([finish(held, before[1] if before and before[0] == held[2] and before[1] != held[3] else None)])
+        yield _batch([finish(held, None)])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
