@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from streamloom.llm.text import mix, slices
 
@@ -235,9 +236,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and repeated doc_ids do no harm.
     """
     rules, names = fit(docs, labels), docs.columns
-    schema = docs.schema
-    for c in STATISTICS:
-        schema = schema.add(f"__stat_{c}", "long")
+    schema = StructType([*docs.schema.fields, *(StructField(f"__stat_{c}", LongType()) for c in STATISTICS)])
     wide = docs.mapInArrow(_Beside(names), schema)
     stats = {c: f"__stat_{c}" for c in STATISTICS}
     kept = judge(wide.select(*(F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)), *(F.col(v).alias(k) for k, v in stats.items())), rules).where("kept")
