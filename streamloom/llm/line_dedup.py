@@ -47,9 +47,10 @@ class Lines:
         breaks = np.flatnonzero(self.points == 10)
         some = np.flatnonzero(docs[1:] > docs[:-1])
         self.start = np.concatenate([docs[some], breaks + 1])
-        order = np.argsort(self.start, kind="stable")
-        owner = np.concatenate([some, np.searchsorted(docs, breaks, side="right") - 1])[order]
-        self.start = self.start[order]
+        owner = np.concatenate([some, np.searchsorted(docs, breaks, side="right") - 1])
+        # a text that ends with a line end has an empty last line where the next text begins
+        order = np.lexsort((owner, self.start))
+        owner, self.start = owner[order], self.start[order]
         self.doc = owner
         ends = np.concatenate([docs[some + 1], breaks])
         ends.sort()
