@@ -97,10 +97,10 @@ class Index:
 
 
 def _whole(w: np.ndarray) -> int:
-    h = np.uint64(len(w))
+    h = np.full(1, len(w), dtype=np.uint64)
     for x in w:
-        h = mix(np.array([h * np.uint64(31) + x]))[0]
-    return int(h)
+        h = mix(h * np.uint64(31) + x)
+    return int(h[0])
 
 
 def contaminated(index: Index, s: Slice, min_words: int, percent: int) -> dict[int, set[int]]:
