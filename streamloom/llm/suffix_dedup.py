@@ -34,8 +34,8 @@ from streamloom.llm import linking
 from streamloom.llm.text import Slice, mix, prefix_hash, slices, span_hash
 
 WINDOW, GRAM, BLOCK = 200, 32, 16
-#: Places to cut are sent to all tasks up to this many documents; beyond, texts are shuffled to them.
-MAX_BROADCAST_ROWS = 200_000
+#: Runs to cut are sent to all tasks up to this many (about 40 bytes each); beyond, texts are shuffled to them.
+MAX_BROADCAST_RUNS = 2_000_000
 
 
 def difference_cover_order(symbols: np.ndarray) -> np.ndarray:
@@ -280,14 +280,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"window must be over {GRAM + BLOCK} and at most {GRAM + 255}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = texts.mapInArrow(_Runs(window), "doc long, place long, gram long, extent long")
-    # a document's key holds its id; the id comes back by joining on what the key is made of
     whole, open_ = _decide(runs, [])
     open_ = linking.checkpoint(open_)
     keyed = texts.mapInArrow(_Identify(), "doc_id long, doc long")
     ids = keyed.distinct()
     wanted = open_.join(ids, "doc").groupBy("doc_id").agg(F.collect_list(F.struct("doc", "place")).alias("wanted"))
     wanted = linking.checkpoint(wanted.withColumnRenamed("doc_id", "__id"))
-    if wanted.count() <= MAX_BROADCAST_ROWS:
+    if open_.count() <= MAX_BROADCAST_RUNS:
         wanted = F.broadcast(wanted)
     cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "wanted").mapInArrow(_Cut(window), "doc long, place long, bytes binary").dropDuplicates(["doc", "place"])
     cut = linking.checkpoint(cut)
