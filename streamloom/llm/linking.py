@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: In buckets of up to this many nodes besides the leader, pairs are tried at once: a bounded number for each node.
+FEW = 12
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; sets a folder only where the cluster names none."""
     context = df.sparkSession.sparkContext
@@ -53,31 +57,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], str] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, levels: int = 6) -> tuple[DataFrame, DataFrame]:
     """Verified links among nodes that share a bucket, and the classes they make.
 
     ``buckets`` has columns key, node and size (and lead: rows that may lead their bucket; pairs of two rows
     that may not are no candidates). ``verify`` takes distinct pairs (a, b) and returns those that are links.
-    First each node is tried with the smallest node of each of its buckets. Where a bucket then still holds
-    nodes of different classes, all its pairs across classes are tried, so no link that would join two
-    classes is lost; pairs within a class would add nothing to the classes.
     ``may`` gives SQL that two sizes must satisfy.
+
+    Each node is tried with one leader of each of its buckets. Where a bucket then still holds nodes of
+    different classes besides its leader, their pairs are tried too, if the bucket has up to ``FEW`` such
+    nodes. For larger ones ``refine`` takes (leader, node) and gives new, narrower buckets in which every link
+    between them that the leader does not make must meet again, and these are treated alike. Without
+    ``refine``, or after ``levels`` rounds of it, all pairs across the classes of such a bucket are tried.
+    Pairs within a class would add nothing to the classes.
     """
     able = may("x.size", "y.size") if may else "true"
-    shared = buckets.groupBy("key").agg(F.min(F.when(F.col("lead"), F.struct("node", "size"))).alias("l"), F.min("node").alias("p"), F.max("node").alias("q")).where("l is not null and p <> q").select("key", "l")
-    members = checkpoint(buckets.join(shared, "key").select("key", "node", "size", "lead", "l"))
-    pairs = members.where("node <> l.node").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"), F.struct("size").alias("x"), F.struct(F.col("l.size").alias("size")).alias("y")).where(able).select("a", "b").distinct()
-    pairs = checkpoint(pairs)
-    links = checkpoint(verify(pairs))
-    roots = components(links)
-    with_root = members.select("key", "node", "size", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = with_root.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    rest = checkpoint(with_root.join(mixed, "key"))
+    links = tested = roots = None
+    for level in range(levels if refine else 1):
+        if roots is None:
+            shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("lead"), F.struct("node", "size", F.col("node").alias("root")))).alias("l"), F.min("node").alias("p"), F.max("node").alias("q")).where("l is not null and p <> q").select("key", "n", "l")
+            members = buckets.join(shared, "key").withColumn("root", F.col("node"))
+        else:
+            rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            shared = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key", "n")
+            members = rooted.join(shared, "key")
+        if refine:
+            # the node with most company leads: copies of one text share more buckets with it than with each other
+            members = checkpoint(members.select("key", "node", "size", "lead", "root", "n"))
+            weights = members.groupBy("node").agg(F.sum("n").alias("w"))
+            leaders = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", "node", "size", "root")).alias("l"))
+            members = members.join(leaders, "key")
+        else:
+            members = checkpoint(members.select("key", "node", "size", "lead", "root", "l"))
+        led = members.where("node <> l.node").select("key", "node", "size", "lead", F.col("l.node").alias("leader"), F.col("l.size").alias("led_size"), F.col("root").alias("r"), F.col("l.root").alias("lr"))
+        led = checkpoint(led) if refine else led
+        pairs = led.where("r <> lr").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.struct("size").alias("x"), F.struct(F.col("led_size").alias("size")).alias("y")).where(able).select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs)
+        found = checkpoint(verify(pairs))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        if roots is None or not found.isEmpty():
+            roots = components(links)
+        now = led.select("key", "node", "size", "lead", "leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key", "n")
+        rest = checkpoint(now.join(mixed, "key"))
+        links, tested, roots = _pairs(rest.where(F.col("n") <= FEW) if refine else rest, able, verify, links, tested, roots)
+        many = rest.where(F.col("n") > FEW)
+        if not refine or many.isEmpty():
+            return links, roots
+        buckets = checkpoint(refine(many.select("leader", "node").distinct()).withColumn("lead", F.lit(True)))
+    rest = buckets.select("key", "node", "size", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links, tested, roots = _pairs(rest, able, verify, links, tested, roots)
+    return links, roots
+
+
+def _pairs(rest: DataFrame, able: str, verify: Callable[[DataFrame], DataFrame], links: DataFrame, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Try all pairs of a bucket across its classes that have not been tried."""
     x, y = rest.alias("x"), rest.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & F.expr(able) & (F.col("x.lead") | F.col("y.lead")))
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = checkpoint(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return links, tested, roots
     found = checkpoint(verify(more))
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        roots = components(links)
-    return links, roots
+    if found.isEmpty():
+        return links, tested.unionByName(more), roots
+    links = links.unionByName(found)
+    return links, tested.unionByName(more), components(links)

@@ -8,7 +8,7 @@ the two are negatively correlated, so a signature of twice the length, and of
 lower variance, comes from half the evaluations. ``bands`` bands of ``rows``
 values bucket the sets; pairs are then confirmed on full sets, exactly, in
 integers: ``100 * intersection >= percent * union``. At similarity 0.85 a pair
-misses all of 32 bands of 6 values with probability 3e-7.
+misses all of 20 bands of 5 values with probability 8e-6, at 0.9 with 2e-8.
 
 Texts with equal sets are one class from the start, held by a 128-bit digest.
 Others are linked by ``linking.link``, which never makes all pairs of a bucket.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from streamloom.llm import linking
 from streamloom.llm.text import mix, shingles, slices
 
-_LONG = 0x7FFFFFFFFFFFFFFF
+#: Ids of texts to be read again are sent to all tasks up to this many (8 bytes each); beyond, texts are shuffled.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,40 @@ class _Confirm:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+class _Differences:
+    """Narrower buckets for nodes that share a leader: (leader, shingle) for shingles in which a node differs from it.
+
+    Say x is no link of leader c. If x and y differ from c in no common shingle, then their intersection is no
+    larger and their union no smaller than those of x and c, so x is no link of y either. If less than the
+    needed share of x lies in c, x and a link of it also have at least the missing number of shingles outside
+    c in common, so the smallest of these in hash order are enough, by the prefix filter's rule.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, sizes = [], [], []
+            for i, (leader, x, y) in enumerate(zip(batch.column("leader").to_pylist(), batch.column("x"), batch.column("y"))):
+                c, x = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+                added = x[c[at] != x]
+                missing = -(-self.percent * len(x) // 100) - (len(x) - len(added))
+                if missing >= 1:
+                    d = added[: len(added) - missing + 1]
+                else:
+                    at = np.minimum(np.searchsorted(x, c), len(x) - 1)
+                    d = np.concatenate([added, c[x[at] != c]])
+                keys.append(mix(d + np.frombuffer(leader, dtype=np.uint64)[0]))
+                rows.append(np.full(len(d), i))
+                sizes.append(np.full(len(d), len(x)))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("node").take(row), pa.array(np.concatenate(sizes), pa.int64())], ["key", "node", "size"])
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 20, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = linking.checkpoint(texts.mapInArrow(_Signatures(k, bands, rows), "doc_id long, n_shingles long, node binary, bands array<long>"))
@@ -135,18 +169,33 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     ids = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     held: dict[str, DataFrame] = {}
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        tried = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def fetch(tried: DataFrame) -> DataFrame:
+        """The sets of these nodes, made from their texts once."""
         if "sets" in held:
             tried = tried.join(held["sets"].select("node"), "node", "left_anti")
-        chosen = ids.join(tried, "node")
-        found = texts.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_Sets(k), "node binary, shingles binary")
-        found = found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        held["sets"] = linking.checkpoint(found.unionByName(held["sets"]) if "sets" in held else found)
-        x, y = held["sets"].select(F.col("node").alias("a"), F.col("shingles").alias("x")), held["sets"].select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_Confirm(percent), "a binary, b binary")
-
-    _, roots = linking.link(buckets, verify, lambda p, q: f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})")
+        chosen = linking.checkpoint(ids.join(tried, "node"))
+        count = chosen.count()
+        if count or "sets" not in held:
+            wanted = chosen.select("doc_id").distinct()
+            if count <= MAX_BROADCAST_ROWS:
+                wanted = F.broadcast(wanted)
+            found = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_Sets(k), "node binary, shingles binary")
+            found = linking.checkpoint(found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+            held["sets"] = found.unionByName(held["sets"]) if "sets" in held else found
+        return held["sets"]
+
+    def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        sets = fetch(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct())
+        x, y = sets.select(F.col("node").alias(a), F.col("shingles").alias("x")), sets.select(F.col("node").alias(b), F.col("shingles").alias("y"))
+        return pairs.join(x, a).join(y, b).select(a, b, "x", "y")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return beside(pairs, "a", "b").mapInArrow(_Confirm(percent), "a binary, b binary")
+
+    def refine(led: DataFrame) -> DataFrame:
+        return beside(led, "leader", "node").mapInArrow(_Differences(percent), "key long, node binary, size long")
+
+    _, roots = linking.link(buckets, verify, lambda p, q: f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})", refine)
     named = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
