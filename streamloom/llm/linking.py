@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: In buckets of up to this many nodes besides the leader, pairs are tried at once: a bounded number for each node.
-FEW = 12
+FEW = 128
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
