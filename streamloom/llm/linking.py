@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: In buckets of up to this many nodes besides the leader, pairs are tried at once: a bounded number for each node.
-FEW = 128
+FEW = 64
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -79,13 +79,13 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Call
             members = buckets.join(shared, "key").withColumn("root", F.col("node"))
         else:
             rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            shared = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key", "n")
+            shared = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
             members = rooted.join(shared, "key")
         if refine:
             # the node with most company leads: copies of one text share more buckets with it than with each other
             members = checkpoint(members.select("key", "node", "size", "lead", "root", "n"))
             weights = members.groupBy("node").agg(F.sum("n").alias("w"))
-            leaders = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", "node", "size", "root")).alias("l"))
+            leaders = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("lead", "w", "node", "size", "root")).alias("l"))
             members = members.join(leaders, "key")
         else:
             members = checkpoint(members.select("key", "node", "size", "lead", "root", "l"))
@@ -101,7 +101,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Call
         if roots is None or not found.isEmpty():
             roots = components(links)
         now = led.select("key", "node", "size", "lead", "leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key", "n")
+        mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
         rest = checkpoint(now.join(mixed, "key"))
         links, tested, roots = _pairs(rest.where(F.col("n") <= FEW) if refine else rest, able, verify, links, tested, roots)
         many = rest.where(F.col("n") > FEW)

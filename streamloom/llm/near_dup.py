@@ -128,36 +128,70 @@ class _Confirm:
 
 
 class _Differences:
-    """Narrower buckets for nodes that share a leader: (leader, shingle) for shingles in which a node differs from it.
-
-    Say x is no link of leader c. If x and y differ from c in no common shingle, then their intersection is no
-    larger and their union no smaller than those of x and c, so x is no link of y either. If less than the
-    needed share of x lies in c, x and a link of it also have at least the missing number of shingles outside
-    c in common, so the smallest of these in hash order are enough, by the prefix filter's rule.
+    """What sets nodes that share a leader apart from it: hashes of (leader, shingle), and how many of them a link must share.
+
+    Write D for the difference of a set from its leader c, and A for the part of it outside c. For two sets,
+    the difference of x and y is that of D(x) and D(y), so a link of x and y needs the common part of D(x) and
+    D(y) to reach (e(x) + e(y)) / 2, with e(x) = |D(x)| - k |x| and k = (100 - percent) / (100 + percent); x is
+    a link of c just if e(x) <= k |c|. So if one of the two is no link of c, the other shares at least
+    (e + k |c|) / 2 (``half``); and a set that is none shares at least (e - k |c|) / 2, and at least
+    e - 100 k |x| / percent, with any link (``full``). If less than the needed share of x lies in c, x also has
+    at least the missing number of A(x) in common with a link (``outside``).
     """
 
+    SCHEMA = "leader binary, node binary, size long, n_added int, n_apart int, outside int, half int, full int, added array<long>, gone array<long>"
+
     def __init__(self, percent: int):
         self.percent = percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q, w = self.percent, 100 - self.percent, 100 + self.percent
         for batch in batches:
-            keys, rows, sizes = [], [], []
-            for i, (leader, x, y) in enumerate(zip(batch.column("leader").to_pylist(), batch.column("x"), batch.column("y"))):
+            numbers, added, gone = [], [], []
+            for leader, x, y in zip(batch.column("leader").to_pylist(), batch.column("x"), batch.column("y")):
                 c, x = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(c, x), len(c) - 1)
-                added = x[c[at] != x]
-                missing = -(-self.percent * len(x) // 100) - (len(x) - len(added))
-                if missing >= 1:
-                    d = added[: len(added) - missing + 1]
-                else:
-                    at = np.minimum(np.searchsorted(x, c), len(x) - 1)
-                    d = np.concatenate([added, c[x[at] != c]])
-                keys.append(mix(d + np.frombuffer(leader, dtype=np.uint64)[0]))
-                rows.append(np.full(len(d), i))
-                sizes.append(np.full(len(d), len(x)))
-            if rows:
-                row = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("node").take(row), pa.array(np.concatenate(sizes), pa.int64())], ["key", "node", "size"])
+                salt = np.frombuffer(leader, dtype=np.uint64)[0]
+                more = x[c[np.minimum(np.searchsorted(c, x), len(c) - 1)] != x]
+                less = c[x[np.minimum(np.searchsorted(x, c), len(x) - 1)] != c]
+                apart = len(more) + len(less)
+                excess, bound = w * apart - q * len(x), q * len(c)
+                half = max(1, -(-(excess + bound + 1) // (2 * w)))
+                full = max(1, -(-(excess - bound) // (2 * w)), -(-(excess * p - q * 100 * len(x)) // (w * p))) if excess > bound else half
+                outside = -(-p * len(x) // 100) - (len(x) - len(more))
+                numbers.append((len(x), len(more), apart, outside, half, min(full, half)))
+                added.append(mix(more + salt).view(np.int64))
+                gone.append(mix(less + salt).view(np.int64))
+            columns = [pa.array(v, t) for v, t in zip(zip(*numbers), [pa.int64()] + [pa.int32()] * 5)] if numbers else []
+            if columns:
+                lists = [pa.array(v, pa.list_(pa.int64())) for v in (added, gone)]
+                yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns, *lists], ["leader", "node", "size", "n_added", "n_apart", "outside", "half", "full", "added", "gone"])
+
+
+def _narrower(apart: DataFrame) -> DataFrame:
+    """Buckets (key, node, size, lead) in which links that a leader does not make meet, by the prefix filter's rule.
+
+    Of what sets a node apart, the shingles that set the fewest nodes apart come first: of n, of which a link
+    shares r, the first n - r + 1 hold a shared one. A set that shares ``outside`` of its A with any link is
+    found there, where all others bring all of theirs; other sets meet by their D.
+    """
+    sized = ["size", "n_added", "n_apart", "outside", "half", "full"]
+    both = F.expr("concat(transform(added, h -> struct(h as key, true as is_added)), transform(gone, h -> struct(h as key, false as is_added)))")
+    items = linking.checkpoint(apart.select("leader", "node", *sized, F.inline(both)))
+    often = items.groupBy("key").agg(F.count("*").alias("often"))
+    nodes = items.join(often, "key").groupBy("leader", "node").agg(*(F.first(c).alias(c) for c in sized), F.sort_array(F.collect_list(F.struct("often", "key", "is_added"))).alias("d"))
+    nodes = nodes.withColumn("a", F.filter("d", lambda x: x["is_added"]))
+    whole = "case when outside >= 1 then {} else {} end"
+    marked = nodes.select(
+        "node",
+        "size",
+        F.expr(whole.format("slice(a, 1, greatest(n_added - outside + 1, 0))", "a")).alias("by_added"),
+        F.expr(whole.format("slice(d, 1, 0)", "slice(d, 1, greatest(n_apart - full + 1, 0))")).alias("by_apart"),
+        (F.col("outside") >= 1).alias("lead"),
+        (F.col("n_apart") - F.col("half") + 1).alias("upto"),
+    )
+    first = marked.select("node", "size", "lead", F.explode("by_added").alias("x")).where("x.often > 1").select(F.col("x.key").alias("key"), "node", "size", "lead")
+    second = marked.select("node", "size", "upto", F.posexplode("by_apart").alias("i", "x")).where("x.often > 1").select(F.xxhash64("x.key").alias("key"), "node", "size", (F.col("i") < F.col("upto")).alias("lead"))
+    return first.unionByName(second).groupBy("key", "node").agg(F.first("size").alias("size"), F.max("lead").alias("lead"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 20, rows: int = 5) -> DataFrame:
@@ -193,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
         return beside(pairs, "a", "b").mapInArrow(_Confirm(percent), "a binary, b binary")
 
     def refine(led: DataFrame) -> DataFrame:
-        return beside(led, "leader", "node").mapInArrow(_Differences(percent), "key long, node binary, size long")
+        return _narrower(beside(led, "leader", "node").mapInArrow(_Differences(percent), _Differences.SCHEMA))
 
     _, roots = linking.link(buckets, verify, lambda p, q: f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})", refine)
     named = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
