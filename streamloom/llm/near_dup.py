@@ -176,9 +176,11 @@ def _narrower(apart: DataFrame) -> DataFrame:
     """
     sized = ["size", "n_added", "n_apart", "outside", "half", "full"]
     both = F.expr("concat(transform(added, h -> struct(h as key, true as is_added)), transform(gone, h -> struct(h as key, false as is_added)))")
-    items = linking.checkpoint(apart.select("leader", "node", *sized, F.inline(both)))
+    apart = linking.checkpoint(apart.withColumn("pair", F.xxhash64("leader", "node")))
+    items = apart.select("pair", F.inline(both))
     often = items.groupBy("key").agg(F.count("*").alias("often"))
-    nodes = items.join(often, "key").groupBy("leader", "node").agg(*(F.first(c).alias(c) for c in sized), F.sort_array(F.collect_list(F.struct("often", "key", "is_added"))).alias("d"))
+    sets = items.join(often, "key").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("often", "key", "is_added"))).alias("d"))
+    nodes = apart.select("pair", "node", *sized).join(sets, "pair")
     nodes = nodes.withColumn("a", F.filter("d", lambda x: x["is_added"]))
     whole = "case when outside >= 1 then {} else {} end"
     marked = nodes.select(
