@@ -49,14 +49,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in slices(batch.column("text")):
             n = len(s)
-            at = np.minimum(s.offsets[:-1], max(len(s.data) - 1, 0))
-            empty = s.offsets[1:] == s.offsets[:-1]
 
             def per_doc(flags: np.ndarray) -> np.ndarray:
-                if not len(s.data):
-                    return np.zeros(n, np.int64)
-                out = np.add.reduceat(flags.astype(np.int64), at)
-                return np.where(empty, 0, out)
+                return np.diff(np.concatenate([[0], np.cumsum(flags)])[s.offsets])
 
             _, _, doc, words = s.words()
             out = {"n_words": np.bincount(doc, minlength=n), "word_chars": per_doc(_CHAR[s.data] & ~_SPACE[s.data])}

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -212,6 +213,14 @@ def test_quality(spark, odd, documents):
     assert kept.columns == odd.columns and kept.count() == 0
 
 
+def test_quality_measures_the_last_byte_before_empty_texts():
+    texts = ["abc", None, "x #5A.", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(quality._measure(iter([batch]))).to_pydict()
+    assert got["word_chars"] == [3, 0, 5, 0, 0]
+    assert [got[c] for c in ("n_symbols", "n_digits", "n_upper", "n_punct")] == [[0, 0, 1, 0, 0]] * 4
+
+
 def test_decision_list_on_held_out_rows():
     r = np.random.default_rng(0)
     x = {"a": r.random(4000), "b": r.random(4000), "c": r.random(4000)}
