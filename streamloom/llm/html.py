@@ -1,19 +1,20 @@
 """HTML extraction: nearest-URL page differencing.
 
 Pages are laid out in order of host and URL path, so that a page stands beside
-the pages of its host whose paths are nearest to its own. Its lines of text are
-aligned with those of either neighbour by longest common subsequence, and lines
-that it shares with one are template and deleted. Markup is read first: scripts,
-styles, menus, headers, footers, sidebars, notices, adverts, forms and comments
-never become lines. Lines inside an ``article`` or ``main`` element are the
-article by the page's own word; shared with a neighbour they are a copied
-article, not template, and stay. If a page has such an element, what stands
-outside it is not its main text.
+the pages of its host whose paths are nearest to its own. All its lines of text
+are aligned with those of either neighbour by longest common subsequence, and
+lines that it shares with one are template and deleted, inside an ``article`` or
+``main`` element too. The guard for copied articles: if what a page shares with
+a neighbour holds half or more of the characters of its article, the neighbour
+has a copy of the article, and deletes none of its lines. Markup is a check on
+what is left: lines of menus, headers, footers, sidebars, notices, adverts,
+forms and comments go, and if lines of an article are left, only they stay.
+Scripts, styles and the like are no text.
 
 Pages are range-partitioned by host and path, so a host with a third of all
 pages spreads over many tasks; a page at the edge of a partition has one
-neighbour, or none if it is alone there, which only matters for lines outside
-an ``article``.
+neighbour, or none if it is alone there, which leaves template lines
+in its text.
 
 Nulls: a null html is empty and gives an empty text; a null url has host ''.
 Repeated pages are compared with other texts only, never with their own copies.
@@ -42,6 +43,9 @@ ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "sear
 #: Words of class and id that name a part that is not the article.
 PARTS = frozenset(("ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"))
 
+#: Where markup puts a line: ruled out, outside an article, or inside one.
+RULED, OUTSIDE, ARTICLE = range(3)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -64,36 +68,36 @@ def _is_part(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, inside an article or main element) of each block that markup does not rule out, in order."""
-    out: list[tuple[str, bool]] = []
-    parts: list[str] = []
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, place) of each block, in order; ruled-out text within a line is a block of its own after it."""
+    out: list[tuple[str, int]] = []
+    parts: tuple[list[str], list[str]] = ([], [])  # open text, and open text that is ruled out
     stack: list[tuple[str, bool]] = []  # open elements, and whether each rules its content out
     ruled, inside, at = 0, 0, 0
 
     def close() -> None:
-        if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                out.append((text, inside > 0))
+        for part, place in zip(parts, (ARTICLE if inside else OUTSIDE, RULED)):
+            if part:
+                text = _SPACE.sub(" ", entities.unescape("".join(part))).strip()
+                part.clear()
+                if text:
+                    out.append((text, place))
 
     while at < len(page):
         m = _TAG.search(page, at)
         if not m:
-            if not ruled:
-                parts.append(page[at:])
+            parts[ruled > 0].append(page[at:])
             break
-        if m.start() > at and not ruled:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            parts[ruled > 0].append(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         ending, attributes = (m[1] or m[4] or "") == "/", m[3] or m[6] or ""
         if name in INLINE or name in VOID:
-            if name == "br" and not ruled:
-                parts.append(" ")
+            if name == "br":
+                parts[ruled > 0].append(" ")
             elif name == "hr":
                 close()
             if name in VOID or name not in ("span", "a", "label"):
@@ -146,13 +150,18 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """The lines of a page that stay after differencing with its neighbours, joined by empty lines."""
-    lines = [t for t, _ in own]
-    shared = set().union(*(common(lines, [t for t, _ in other]) for other in neighbours))
-    own = [x for i, x in enumerate(own) if i not in shared or x[1]]
-    article = [t for t, marked in own if marked]
-    return "\n\n".join(article or [t for t, _ in own])
+def main_text(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
+    """The lines of a page that stay after differencing with its neighbours and the check of markup, joined by empty lines."""
+    lines, shared = [t for t, _ in own], set()
+    inside = {i: len(t) for i, (t, place) in enumerate(own) if place == ARTICLE}
+    for other in neighbours:
+        found = common(lines, [t for t, _ in other])
+        if 2 * sum(inside.get(i, 0) for i in found) >= sum(inside.values()):
+            found -= inside.keys()
+        shared |= found
+    left = [x for i, x in enumerate(own) if i not in shared and x[1] != RULED]
+    article = [t for t, place in left if place == ARTICLE]
+    return "\n\n".join(article or [t for t, _ in left])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

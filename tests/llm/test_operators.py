@@ -365,6 +365,14 @@ def test_html(spark):
     assert html.common(list("abcbdab"), list("bdcaba")) in ({1, 2, 3, 5}, {1, 2, 5, 6}, {1, 3, 4, 6}, {1, 4, 5, 6}) or len(html.common(list("abcbdab"), list("bdcaba"))) == 4
 
 
+def test_html_differencing_decides_inside_articles():
+    page = lambda *lines: html.blocks("<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article><footer>f</footer>")
+    one, two, copy = page("First text of its own", "Read our news", "and its end"), page("Second text of its own", "Read our news"), page("First text of its own", "and its end", "Other")
+    assert html.main_text(one, [two]) == "First text of its own\n\nand its end"
+    assert html.main_text(one, [two, copy]) == "First text of its own\n\nand its end"
+    assert html.main_text(two, [one, one]) == "Second text of its own"
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 
