@@ -288,7 +288,7 @@ class _Rebuild:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-1], "__n_lines", "__n_gone"])
 
 
-def dedup_lines(docs: DataFrame, *, threshold: int = 1, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, threshold: int = 2, min_chars: int = 20) -> DataFrame:
     """``docs`` with the removed lines cut from text, and columns __n_lines and __n_gone beside its own."""
     names = docs.columns
     gone = removals(docs, threshold, min_chars).select(F.col("doc_id").alias("__doc_id"), F.col("gone").alias("__gone"))

@@ -309,6 +309,12 @@ def test_line_dedup(spark, threshold):
     assert {q.doc_id: q.text for q in line_dedup.dedup_lines(df, threshold=threshold).collect()} == want
 
 
+def test_line_dedup_takes_two_edits_by_default(spark):
+    rows = [(1, "Updated on day 12 of the month by staff"), (2, "Updated on day 35 of the month by staff"), (3, "Updated on day 467 of the month by staff")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.dedup_lines(odd).count() == len(ODD)
     assert line_dedup.dedup_lines(empty).count() == 0
