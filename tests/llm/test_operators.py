@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import random
 import re
@@ -85,6 +86,12 @@ def test_near_duplicates(spark, odd, empty, documents):
     assert near_dup.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_bands_miss_no_more_than_stated():
+    default = {k: v.default for k, v in inspect.signature(near_dup.near_duplicates).parameters.items()}
+    for similarity, most in ((0.8, 6.0e-5), (0.85, 2.7e-7)):
+        assert (1 - similarity ** default["rows"]) ** default["bands"] <= most
+
+
 def test_packing(spark, odd, empty, documents):
     from tokenizers import Tokenizer
 
