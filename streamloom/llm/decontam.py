@@ -7,7 +7,9 @@ places only. Hashes of the corpus are looked up among those of the benchmark,
 and around each hit the two texts are laid on one another: a document is
 contaminated by an item if, on that diagonal, ``min_words`` consecutive words
 (all of a shorter item) agree in ``percent`` of their places or more. The masks
-are such that every such overlap of ``min_words`` words has a hit.
+are such that every such overlap of ``min_words`` words has a hit. Items of
+under 12 words, where the masks would miss some, have masks of their own length
+that ignore each choice of as many parts as words may differ.
 
 The benchmark is the small side: it is read in blocks of at most
 ``block_words`` words, each block's index is of bounded size and is sent to all
@@ -23,6 +25,7 @@ Texts are searched whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ MASKS = ("11111", "11011001", "1101000011", "110000101001")
 MIN_WORDS, PERCENT, BLOCK_WORDS = 13, 80, 500_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+#: Items of fewer words are looked up by their own masks.
+SHORT = 12
 _TABLE_BITS = 24
 
 
@@ -65,10 +70,24 @@ def _seeds(words: np.ndarray, owner: np.ndarray, mask: str, number: int) -> tupl
     return at, h
 
 
+def short_masks(n: int, percent: int) -> list[np.ndarray]:
+    """Places to compare in an item of n words, such that any allowed choice of differing places is ignored by one."""
+    spoiled = n - -(-percent * n // 100)
+    parts = np.arange(n) * min(n, spoiled + 2) // n
+    return [np.flatnonzero(~np.isin(parts, ignored)) for ignored in combinations(range(int(parts[-1]) + 1), spoiled)]
+
+
+def _picked(words: np.ndarray, at: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
+    h = np.full(len(at), salt, dtype=np.uint64)
+    for i in places:
+        h = mix(h * np.uint64(31) + words[at + i])
+    return h
+
+
 class Index:
     """A block of the benchmark: its words end to end, and where each seed hash stands."""
 
-    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...]):
+    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...], percent: int = PERCENT):
         self.ids = np.array(ids, dtype=np.int64)
         owners, words, shift = [], [], 0
         for s in slices(pa.array(texts, pa.string())):
@@ -81,13 +100,16 @@ class Index:
         self.bounds = np.searchsorted(self.owner, np.arange(len(ids) + 1))
         self.masks = masks
         found = [_seeds(self.words, self.owner, m, i) for i, m in enumerate(masks)]
-        # an item too short for a mask is one seed of its whole sequence
-        self.short: dict[int, dict[int, list[int]]] = {}
-        least = min(map(len, masks))
-        for i in range(len(ids)):
-            w = self.words[self.bounds[i] : self.bounds[i + 1]]
-            if 0 < len(w) < least:
-                self.short.setdefault(len(w), {}).setdefault(_whole(w), []).append(i)
+        # by length and mask: the hash of each short item
+        self.short: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
+        sizes = np.diff(self.bounds)
+        for n in np.unique(sizes[(sizes > 0) & (sizes < SHORT)]).tolist():
+            items = np.flatnonzero(sizes == n)
+            for number, places in enumerate(short_masks(n, percent)):
+                table: dict[int, list[int]] = {}
+                for i, x in zip(items.tolist(), _picked(self.words, self.bounds[items], places, 16 * n + number).tolist()):
+                    table.setdefault(x, []).append(i)
+                self.short.setdefault(n, []).append((places, table))
         at, h = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.argsort(h, kind="stable")
         self.hashes, self.at = h[order], at[order]
@@ -96,26 +118,22 @@ class Index:
         np.bitwise_or.at(self.table, low >> 3, (1 << (low & 7)).astype(np.uint8))
 
 
-def _whole(w: np.ndarray) -> int:
-    h = np.full(1, len(w), dtype=np.uint64)
-    for x in w:
-        h = mix(h * np.uint64(31) + x)
-    return int(h[0])
-
-
 def contaminated(index: Index, s: Slice, min_words: int, percent: int) -> dict[int, set[int]]:
     """Numbers of the documents of a slice that are contaminated, with the places of their items in the index."""
     owner, words = words_of(s)
     bounds = np.searchsorted(owner, np.arange(len(s) + 1))
     out: dict[int, set[int]] = {}
-    for n, table in index.short.items():
-        mask = "1" * n
-        at = np.flatnonzero(owner[: max(0, len(words) - n + 1)] == owner[n - 1 :]) if len(words) >= n else []
-        h = np.full(len(at), n, dtype=np.uint64)
-        for i in range(len(mask)):
-            h = mix(h * np.uint64(31) + words[at + i]) if len(at) else h
-        for j in np.flatnonzero(np.isin(h, np.array(list(table), dtype=np.uint64))) if len(at) else []:
-            out.setdefault(int(owner[at[j]]), set()).update(table[int(h[j])])
+    for n, tables in index.short.items():
+        if len(words) < n:
+            continue
+        at = np.flatnonzero(owner[: len(words) - n + 1] == owner[n - 1 :])
+        for number, (places, table) in enumerate(tables):
+            h = _picked(words, at, places, 16 * n + number)
+            for j in np.flatnonzero(np.isin(h, np.array(list(table), dtype=np.uint64))):
+                doc, w = int(owner[at[j]]), words[at[j] : at[j] + n]
+                for item in table[int(h[j])]:
+                    if item not in out.get(doc, ()) and 100 * int((w == index.words[index.bounds[item] : index.bounds[item + 1]]).sum()) >= percent * n:
+                        out.setdefault(doc, set()).add(item)
     for number, mask in enumerate(index.masks):
         at, h = _seeds(words, owner, mask, number)
         low = (h & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
@@ -185,7 +203,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     context, found = docs.sparkSession.sparkContext, None
     for ids, items in blocks(benchmark, block_words):
-        hits = texts.mapInArrow(_Pass(context.broadcast(Index(ids, items, MASKS)), 1, min_words, percent, False), "doc_id long, item_id long")
+        hits = texts.mapInArrow(_Pass(context.broadcast(Index(ids, items, MASKS, percent)), 1, min_words, percent, False), "doc_id long, item_id long")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
@@ -200,5 +218,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int =
     at = [c.lower() for c in docs.columns].index("text")
     out = docs.withColumn("text", F.col("text").cast("string"))
     for ids, items in blocks(benchmark, block_words):
-        out = out.mapInArrow(_Pass(docs.sparkSession.sparkContext.broadcast(Index(ids, items, MASKS)), at, min_words, percent, True), out.schema)
+        out = out.mapInArrow(_Pass(docs.sparkSession.sparkContext.broadcast(Index(ids, items, MASKS, percent)), at, min_words, percent, True), out.schema)
     return out

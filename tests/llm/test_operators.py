@@ -17,6 +17,7 @@ import pytest
 
 from streamloom.llm import chat, decontam, html, line_dedup, near_dup, packing, pii, quality, secrets, suffix_dedup
 from streamloom.llm.queries import ORACLE_SQL, QUERIES
+from streamloom.llm.text import slices
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -267,6 +268,17 @@ def test_masks_miss_no_overlap():
         assert any(all(at + k not in spoiled for k, c in enumerate(m) if c == "1") for m in decontam.MASKS for at in range(decontam.MIN_WORDS - len(m) + 1))
 
 
+def test_short_items_miss_no_overlap():
+    for n in range(1, 13):
+        words_ = [f"w{i}" for i in range(n)]
+        index = decontam.Index([1], [" ".join(words_)], decontam.MASKS)
+        for count in range(n // 5 + 2):
+            spoiled = list(itertools.combinations(range(n), count))
+            texts = ["before " + " ".join("x" if i in gone else x for i, x in enumerate(words_)) + " after" for gone in spoiled]
+            hits = {s.first + i for s in slices(pa.array(texts, pa.string())) for i in decontam.contaminated(index, s, 13, 80)}
+            assert hits == (set(range(len(texts))) if count <= n // 5 else set()), (n, count)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
