@@ -213,10 +213,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
         chosen = linking.checkpoint(ids.join(tried, "node"))
         count = chosen.count()
         if count or "sets" not in held:
-            wanted = chosen.select("doc_id").distinct()
+            wanted = chosen.select(F.col("doc_id").alias("wanted")).distinct()
             if count <= MAX_BROADCAST_ROWS:
                 wanted = F.broadcast(wanted)
-            found = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_Sets(k), "node binary, shingles binary")
+            found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_Sets(k), "node binary, shingles binary")
             found = linking.checkpoint(found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
             held["sets"] = found.unionByName(held["sets"]) if "sets" in held else found
         return held["sets"]

@@ -87,6 +87,12 @@ def test_near_duplicates(spark, odd, empty, documents):
     assert near_dup.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_null_doc_id_is_linked_with_a_near_copy(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text), (None, text + " more")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()} == {(1, 1), (None, 1)}
+
+
 def test_bands_miss_no_more_than_stated():
     default = {k: v.default for k, v in inspect.signature(near_dup.near_duplicates).parameters.items()}
     for similarity, most in ((0.8, 6.0e-5), (0.85, 2.7e-7)):
