@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.functions import geo
@@ -19,21 +19,24 @@ def driving_sessions(cars: DataFrame, gap: str = "15 seconds") -> DataFrame:
     return cars.groupBy("car_id", F.session_window("event_time", gap).alias("s")).agg(*_summary()).drop("s")
 
 
-def _stops(cars: DataFrame) -> DataFrame:
-    order = Window.partitionBy("car_id").orderBy("event_time", "event_id")
-    return cars.select("*", F.sum((F.col("speed") == 0).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("stops"), F.sum((F.col("speed") == 0).cast("long")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("ahead"))
+def _closed(cars: DataFrame, least: int) -> DataFrame:
+    """Driving events with the number of their car's stops before them, of segments that a stop ends and ``least`` stops precede."""
+    stop = (F.col("speed") == 0).cast("long")
+    counted = before(cars, ["car_id"], "event_time", {"stops": ("sum", stop)}, ties=("event_id",)).withColumn("stops", F.coalesce("stops", F.lit(0)))
+    # the segment after k stops is closed if its car stops more often
+    total = cars.groupBy(F.col("car_id").alias("__car")).agg(F.sum(stop).alias("__total"))
+    moving = counted.where(F.col("speed") != 0).where(F.col("stops") >= least)
+    return moving.join(total, F.col("car_id").eqNullSafe(F.col("__car"))).where("stops < __total").drop("__car", "__total")
 
 
 def stopped_segments(cars: DataFrame) -> DataFrame:
     """A summary of the driving up to each stop; what has no stop after it is not yet a segment."""
-    moving = _stops(cars).where("speed <> 0 and ahead > 0").withColumn("stops", F.coalesce("stops", F.lit(0)))
-    return moving.groupBy("car_id", "stops").agg(*_summary()).drop("stops")
+    return _closed(cars, 0).groupBy("car_id", "stops").agg(*_summary()).drop("stops")
 
 
 def stopped_segments_pattern(cars: DataFrame) -> DataFrame:
     """As stopped_segments, but only between two stops: stop, driving, stop."""
-    moving = _stops(cars).where("speed <> 0 and ahead > 0 and stops > 0")
-    return moving.groupBy("car_id", "stops").agg(*_summary()).drop("stops")
+    return _closed(cars, 1).groupBy("car_id", "stops").agg(*_summary()).drop("stops")
 
 
 def late_split(events: DataFrame, order: str, time: str, delay: str) -> DataFrame:
@@ -43,7 +46,7 @@ def late_split(events: DataFrame, order: str, time: str, delay: str) -> DataFram
 
 
 def _before_all(events: DataFrame, order: str, time: str) -> DataFrame:
-    return before(events.withColumn("__all", F.lit(0)), ["__all"], order, F.col(time), "max", "__seen").drop("__all")
+    return before(events.withColumn("__all", F.lit(0)), ["__all"], order, {"__seen": ("max", F.col(time))}).drop("__all")
 
 
 def ending_rides_near(rides: DataFrame, queries: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def nearest_taxi(rides: DataFrame, queries: DataFrame) -> DataFrame:
 
 def nearest_taxi_minima(rides: DataFrame, queries: DataFrame) -> DataFrame:
     """Every END that is nearer than all before it, per query, in the order of arrival."""
-    seen = before(ending_rides_near(rides, queries), ["query_id"], "event_id", F.col("km"), "min", "least")
+    seen = before(ending_rides_near(rides, queries), ["query_id"], "event_id", {"least": ("min", F.col("km"))})
     return seen.where("least is null or km < least").select("query_id", "taxi_id", "km", "event_id")
 
 
@@ -92,8 +95,8 @@ def rule_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
     ``items`` has colour, shape and seq. All firsts since the last second are paired with the next second
     and cleared; where a rule's shapes are equal, an item completes those before it and waits again.
     """
-    keyed = items.join(F.broadcast(rules), (F.col("shape") == F.col("first")) | (F.col("shape") == F.col("second")))
-    order = Window.partitionBy("colour", "rule").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    shapes = rules.select("rule", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("shape"))
+    keyed = items.join(shapes, "shape")
     closing = F.when(F.col("shape") == F.col("second"), F.col("seq"))
-    paired = keyed.select("*", F.min(closing).over(order).alias("closed_by"))
+    paired = before(keyed, ["colour", "rule"], "seq", {"closed_by": ("min", closing)}, reverse=True)
     return paired.where("shape = first and closed_by is not null").select("rule", "colour", F.col("seq").alias("opened_by"), "closed_by")
