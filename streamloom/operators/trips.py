@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions import geo
+from streamloom.operators.running import before
 
 
 def cleanse(rides: DataFrame) -> DataFrame:
@@ -23,8 +24,7 @@ def ride_count(rides: DataFrame) -> DataFrame:
 
 def ride_count_trace(rides: DataFrame) -> DataFrame:
     """The count after each record of a driver, in order of arrival."""
-    order = Window.partitionBy("driver_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rides.select("event_id", "driver_id", F.count("*").over(order).alias("n"))
+    return before(rides.select("event_id", "driver_id"), ["driver_id"], "event_id", {"n": ("sum", F.lit(1).cast("long"))}, inclusive=True)
 
 
 def increment(df: DataFrame, column: str) -> DataFrame:
@@ -121,13 +121,12 @@ def long_rides_pattern(rides: DataFrame, limit: str = "2 hours") -> DataFrame:
 def asof(trades: DataFrame, customers: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Each trade with the columns of the latest customer record of its key whose ``order`` is not greater.
 
-    One sort of both sides by key: no pairs are made.
+    One sort of both sides by ranges of a key's order: no pairs are made, and a hot key spreads.
     """
     value = F.struct(*columns)
-    right = customers.select(key, F.col(order).alias("__at"), F.lit(0).alias("__side"), value.alias("__seen"), F.lit(None).cast(trades.select(F.struct(*trades.columns).alias("s")).schema["s"].dataType).alias("__own"))
-    left = trades.select(key, F.col(order).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(customers.select(value.alias("s")).schema["s"].dataType).alias("__seen"), F.struct(*trades.columns).alias("__own"))
-    seen = F.last("__seen", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = right.unionByName(left).withColumn("__seen", seen).where("__side = 1")
+    right = customers.select(key, F.col(order).alias("__at"), F.lit(0).alias("__side"), value.alias("__value"), F.lit(None).cast(trades.select(F.struct(*trades.columns).alias("s")).schema["s"].dataType).alias("__own"))
+    left = trades.select(key, F.col(order).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(customers.select(value.alias("s")).schema["s"].dataType).alias("__value"), F.struct(*trades.columns).alias("__own"))
+    both = before(right.unionByName(left), [key], "__at", {"__seen": ("last", F.col("__value"))}, ties=("__side",), inclusive=True).where("__side = 1")
     return both.select("__own.*", *(F.col(f"__seen.{c}").alias(c) for c in columns))
 
 
@@ -142,9 +141,7 @@ def travel_time(rides: DataFrame) -> DataFrame:
     # seen from the destination, so that a ride and its model agree whichever end is known
     angle = geo.direction_angle("end_lon", "end_lat", "start_lon", "start_lat")
     rows = own.select("event_id", "ride_id", "is_start", geo.grid_cell("end_lon", "end_lat").alias("cell"), geo.direction_bucket(angle).alias("bucket"), distance.alias("km"), ((F.unix_millis("end_time") - F.unix_millis("start_time")) / 60000.0).alias("minutes"))
-    seen = Window.partitionBy("cell", "bucket").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     end = ~F.col("is_start")
-    xy, xx, n = (F.sum(F.when(end, e)).over(seen) for e in (F.col("km") * F.col("minutes"), F.col("km") * F.col("km"), F.lit(1)))
-    rows = rows.select("*", xy.alias("xy"), xx.alias("xx"), n.alias("seen"))
+    rows = before(rows, ["cell", "bucket"], "event_id", {name: ("sum", F.when(end, e)) for name, e in (("xy", F.col("km") * F.col("minutes")), ("xx", F.col("km") * F.col("km")), ("seen", F.lit(1).cast("long")))})
     guess = F.when((F.col("seen") < 2) | F.col("seen").isNull() | (F.col("xx") == 0), -1).otherwise((F.try_divide("xy", "xx") * F.col("km")).cast("int"))
     return rows.where("is_start").select("ride_id", guess.cast("int").alias("minutes"))
