@@ -1,9 +1,13 @@
 """Links and classes from buckets of candidates, without all pairs of a bucket.
 
-Joins and filters over hot keys are plain equi-joins of Spark, which splits
-skewed partitions; what a key sums up to is aggregated before the shuffle.
-Intermediate tables are checkpointed to the folder that the cluster shares, so
-a lost executor costs a re-read and never the work before it.
+In every bucket one node, the leader, is compared with all others. Where a bucket then still holds nodes of
+different classes, its nodes meet again in narrower buckets: the operator says in which, such that every link
+that the leader does not settle has its two nodes together in one of them. Pairs are tried only in narrower
+buckets of few nodes; the others are treated as the first were, until no bucket holds two classes.
+
+Joins and filters over hot keys are plain equi-joins of Spark, which splits skewed partitions; what a key sums
+up to is aggregated before the shuffle. Intermediate tables are checkpointed to the folder that the cluster
+shares, so a lost executor costs a re-read and never the work before it.
 """
 
 from __future__ import annotations
@@ -14,16 +18,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: In buckets of up to this many nodes besides the leader, pairs are tried at once: a bounded number for each node.
+#: Pairs of a narrower bucket of up to this many nodes are tried at once: a bounded number for each node.
 FEW = 64
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; sets a folder only where the cluster names none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder of checkpoints; where none is named, a new local one, which only a local master can use."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -57,71 +69,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], str] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None, levels: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Verified links among nodes that share a bucket, and the classes they make.
-
-    ``buckets`` has columns key, node and size (and lead: rows that may lead their bucket; pairs of two rows
-    that may not are no candidates). ``verify`` takes distinct pairs (a, b) and returns those that are links.
-    ``may`` gives SQL that two sizes must satisfy.
-
-    Each node is tried with one leader of each of its buckets. Where a bucket then still holds nodes of
-    different classes besides its leader, their pairs are tried too, if the bucket has up to ``FEW`` such
-    nodes. For larger ones ``refine`` takes (leader, node) and gives new, narrower buckets in which every link
-    between them that the leader does not make must meet again, and these are treated alike. Without
-    ``refine``, or after ``levels`` rounds of it, all pairs across the classes of such a bucket are tried.
-    Pairs within a class would add nothing to the classes.
+def _rooted(df: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return df.withColumn("root", F.col("node"))
+    return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _merge(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """The classes after some more links; only links between classes are contracted."""
+    if roots is None:
+        return None if found.isEmpty() else checkpoint(components(found))
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    across = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    across = checkpoint(across.distinct())
+    if across.isEmpty():
+        return roots
+    joined = checkpoint(components(across))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = joined.join(roots.select("node"), "node", "left_anti")
+    return checkpoint(moved.unionByName(new))
+
+
+def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], able: str, central: bool = False, levels: int | None = None) -> DataFrame | None:
+    """(node, root) of all nodes that have a link to another; None if no node has.
+
+    ``buckets`` has key, node, size, lead (rows that may lead; two rows that may not are no candidates).
+    ``compare`` takes (leader, node, leader_size, size) and returns leader, node, linked and what ``narrow``
+    needs of them; pairs that it leaves out are no links. ``narrow`` takes (path, leader, node, size, what
+    ``compare`` gave) of the buckets still mixed and gives narrower ones: key, path, node, size, lead and what
+    ``able`` asks. ``able`` is SQL over two rows x and y of a narrower bucket that a link of theirs satisfies,
+    and ``verify`` returns those of pairs (a, b) that are links. With ``central``, the node with the most
+    company leads: copies of one text share more buckets with it than with each other.
+
+    A path is the leaders that a bucket's nodes were compared with, none of which is among them, so buckets
+    of one path shrink with every round and the rounds end. An operator that cannot narrow buckets more than
+    ``levels`` times has all pairs across the classes of the last ones tried that ``able`` allows.
     """
-    able = may("x.size", "y.size") if may else "true"
-    links = tested = roots = None
-    for level in range(levels if refine else 1):
-        if roots is None:
-            shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("lead"), F.struct("node", "size", F.col("node").alias("root")))).alias("l"), F.min("node").alias("p"), F.max("node").alias("q")).where("l is not null and p <> q").select("key", "n", "l")
-            members = buckets.join(shared, "key").withColumn("root", F.col("node"))
-        else:
-            rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            shared = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
-            members = rooted.join(shared, "key")
-        if refine:
-            # the node with most company leads: copies of one text share more buckets with it than with each other
-            members = checkpoint(members.select("key", "node", "size", "lead", "root", "n"))
+    roots: DataFrame | None = None
+    buckets = buckets.withColumn("path", F.lit(0).cast("long"))
+    level = 0
+    while True:
+        rooted = _rooted(buckets, roots)
+        mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
+        members = checkpoint(rooted.join(mixed, "key"))
+        if level:
+            last = level == levels
+            few = members if last else members.where(F.col("n") <= FEW)
+            x, y = few.alias("x"), few.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.lead") | F.col("y.lead")) & F.expr(able))
+            pairs = checkpoint(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            if not pairs.isEmpty():
+                roots = _merge(roots, checkpoint(verify(pairs)))
+            members = members.where(F.col("n") > FEW)
+            if last or members.isEmpty():
+                return roots
+        rank = F.struct("lead", F.col("node"), F.col("size"))
+        if central:
             weights = members.groupBy("node").agg(F.sum("n").alias("w"))
-            leaders = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("lead", "w", "node", "size", "root")).alias("l"))
-            members = members.join(leaders, "key")
-        else:
-            members = checkpoint(members.select("key", "node", "size", "lead", "root", "l"))
-        led = members.where("node <> l.node").select("key", "node", "size", "lead", F.col("l.node").alias("leader"), F.col("l.size").alias("led_size"), F.col("root").alias("r"), F.col("l.root").alias("lr"))
-        led = checkpoint(led) if refine else led
-        pairs = led.where("r <> lr").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.struct("size").alias("x"), F.struct(F.col("led_size").alias("size")).alias("y")).where(able).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        found = checkpoint(verify(pairs))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if roots is None or not found.isEmpty():
-            roots = components(links)
-        now = led.select("key", "node", "size", "lead", "leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
-        rest = checkpoint(now.join(mixed, "key"))
-        links, tested, roots = _pairs(rest.where(F.col("n") <= FEW) if refine else rest, able, verify, links, tested, roots)
-        many = rest.where(F.col("n") > FEW)
-        if not refine or many.isEmpty():
-            return links, roots
-        buckets = checkpoint(refine(many.select("leader", "node").distinct()).withColumn("lead", F.lit(True)))
-    rest = buckets.select("key", "node", "size", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links, tested, roots = _pairs(rest, able, verify, links, tested, roots)
-    return links, roots
-
-
-def _pairs(rest: DataFrame, able: str, verify: Callable[[DataFrame], DataFrame], links: DataFrame, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Try all pairs of a bucket across its classes that have not been tried."""
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & F.expr(able) & (F.col("x.lead") | F.col("y.lead")))
-    more = checkpoint(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return links, tested, roots
-    found = checkpoint(verify(more))
-    if found.isEmpty():
-        return links, tested.unionByName(more), roots
-    links = links.unionByName(found)
-    return links, tested.unionByName(more), components(links)
+            members = members.join(weights, "node")
+            rank = F.struct("lead", "w", F.col("node"), F.col("size"))
+        leaders = members.groupBy("key").agg(F.max(rank).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+        led = members.select("key", "path", "node", "size", "lead").join(leaders, "key").where("node <> leader")
+        led = checkpoint(led)
+        compared = checkpoint(compare(led.select("leader", "node", "leader_size", "size").distinct()))
+        roots = _merge(roots, compared.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        left = _rooted(led, roots)
+        mixed = left.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key")
+        again = left.join(mixed, "key").select("path", "leader", "node", "size").distinct()
+        level += 1
+        buckets = checkpoint(narrow(again.join(compared, ["leader", "node"], "left"), level))
+        if buckets.isEmpty():
+            return roots

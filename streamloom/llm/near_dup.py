@@ -12,7 +12,7 @@ of 32 bands of 6 values with probability 6e-5 at similarity 0.8, 2.6e-7 at 0.85
 and 3e-11 at 0.9, taking values as independent.
 
 Texts with equal sets are one class from the start, held by a 128-bit digest.
-Others are linked by ``linking.link``, which never makes all pairs of a bucket.
+Others are linked by ``linking.classes``, which never makes all pairs of a bucket.
 
 Nulls: a null text is empty; a text without words has an empty set and is
 linked with nothing, being its own component. A null doc_id takes part in its
@@ -89,8 +89,8 @@ class _Signatures:
                     where = np.zeros(n + 1, dtype=np.int32)
                     where[1:] = np.cumsum(np.where(sizes > 0, self.bands, 0))
                     lists = pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel().view(np.int64)))
-                ids = batch.column("doc_id").slice(s.first, n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "node", "bands"])
+                own = [batch.column(c).slice(s.first, n) for c in ("doc_id", "version")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), lists], ["doc_id", "version", "n_shingles", "digest", "bands"])
 
 
 class _Sets:
@@ -110,7 +110,7 @@ class _Sets:
                 starts = np.searchsorted(doc, some)
                 nodes = _digest(doc, h, starts, sizes[some])
                 sets = [h[a : a + m].tobytes() for a, m in zip(starts, sizes[some])]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
 
 class _Confirm:
@@ -128,19 +128,23 @@ class _Confirm:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class _Differences:
-    """What sets nodes that share a leader apart from it: hashes of (leader, shingle), and how many of them a link must share.
+class _Compare:
+    """A node beside its leader: whether they are linked, and what a link of the node to a third must share of what sets it apart.
 
-    Write D for the difference of a set from its leader c, and A for the part of it outside c. For two sets,
-    the difference of x and y is that of D(x) and D(y), so a link of x and y needs the common part of D(x) and
-    D(y) to reach (e(x) + e(y)) / 2, with e(x) = |D(x)| - k |x| and k = (100 - percent) / (100 + percent); x is
-    a link of c just if e(x) <= k |c|. So if one of the two is no link of c, the other shares at least
-    (e + k |c|) / 2 (``half``); and a set that is none shares at least (e - k |c|) / 2, and at least
-    e - 100 k |x| / percent, with any link (``full``). If less than the needed share of x lies in c, x also has
-    at least the missing number of A(x) in common with a link (``outside``).
+    Write D(x) for the difference of a set x from its leader c, and A(x) for the part of it outside c. For two
+    sets the difference of x and y is that of D(x) and D(y), so x and y are linked just if the common part of
+    D(x) and D(y) reaches (e(x) + e(y)) / 2, with e(x) = |D(x)| - k |x| and k = (100 - percent) / (100 + percent),
+    and x is linked to c just if e(x) <= k |c|. Two links of c are of one class anyway, so only pairs matter
+    of which one is no link of c (``far``).
+
+    Put D(x) in an order that all sets keep: first A(x), then what x lacks of c, either by hash. If two sets
+    share r of n and m, the first n - r + 1 of the one and the first m - r + 1 of the other hold a shared one:
+    the first that they share. A set has r >= (e + k |c|) / 2 with any far set (``lead`` of its D), and a far
+    set r >= e(x) - 100 k |x| / percent with any set at all; ``first`` has D(x) as far as that goes. What a word
+    replaced adds to a set is half of D(x) and rarely shared, so hardly any of the frequent lacks are listed.
     """
 
-    SCHEMA = "leader binary, node binary, size long, n_added int, n_apart int, outside int, half int, full int, added array<long>, gone array<long>"
+    SCHEMA = "leader long, node long, linked boolean, far boolean, apart int, excess long, lead int, first array<long>"
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -148,100 +152,90 @@ class _Differences:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q, w = self.percent, 100 - self.percent, 100 + self.percent
         for batch in batches:
-            numbers, added, gone = [], [], []
-            for leader, x, y in zip(batch.column("leader").to_pylist(), batch.column("x"), batch.column("y")):
-                c, x = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                salt = np.frombuffer(leader, dtype=np.uint64)[0]
+            rows, firsts = [], []
+            for c, x in zip(batch.column("x"), batch.column("y")):
+                c, x = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (c, x))
                 more = x[c[np.minimum(np.searchsorted(c, x), len(c) - 1)] != x]
                 less = c[x[np.minimum(np.searchsorted(x, c), len(x) - 1)] != c]
                 apart = len(more) + len(less)
                 excess, bound = w * apart - q * len(x), q * len(c)
+                far = excess > bound
                 half = max(1, -(-(excess + bound + 1) // (2 * w)))
-                full = max(1, -(-(excess - bound) // (2 * w)), -(-(excess * p - q * 100 * len(x)) // (w * p))) if excess > bound else half
-                outside = -(-p * len(x) // 100) - (len(x) - len(more))
-                numbers.append((len(x), len(more), apart, outside, half, min(full, half)))
-                added.append(mix(more + salt).view(np.int64))
-                gone.append(mix(less + salt).view(np.int64))
-            columns = [pa.array(v, t) for v, t in zip(zip(*numbers), [pa.int64()] + [pa.int32()] * 5)] if numbers else []
-            if columns:
-                lists = [pa.array(v, pa.list_(pa.int64())) for v in (added, gone)]
-                yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns, *lists], ["leader", "node", "size", "n_added", "n_apart", "outside", "half", "full", "added", "gone"])
-
-
-def _narrower(apart: DataFrame) -> DataFrame:
-    """Buckets (key, node, size, lead) in which links that a leader does not make meet, by the prefix filter's rule.
-
-    Of what sets a node apart, the shingles that set the fewest nodes apart come first: of n, of which a link
-    shares r, the first n - r + 1 hold a shared one. A set that shares ``outside`` of its A with any link is
-    found there, where all others bring all of theirs; other sets meet by their D.
-    """
-    sized = ["size", "n_added", "n_apart", "outside", "half", "full"]
-    both = F.expr("concat(transform(added, h -> struct(h as key, true as is_added)), transform(gone, h -> struct(h as key, false as is_added)))")
-    apart = linking.checkpoint(apart.withColumn("pair", F.xxhash64("leader", "node")))
-    items = apart.select("pair", F.inline(both))
-    often = items.groupBy("key").agg(F.count("*").alias("often"))
-    sets = items.join(often, "key").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("often", "key", "is_added"))).alias("d"))
-    nodes = apart.select("pair", "node", *sized).join(sets, "pair")
-    nodes = nodes.withColumn("a", F.filter("d", lambda x: x["is_added"]))
-    whole = "case when outside >= 1 then {} else {} end"
-    marked = nodes.select(
-        "node",
-        "size",
-        F.expr(whole.format("slice(a, 1, greatest(n_added - outside + 1, 0))", "a")).alias("by_added"),
-        F.expr(whole.format("slice(d, 1, 0)", "slice(d, 1, greatest(n_apart - full + 1, 0))")).alias("by_apart"),
-        (F.col("outside") >= 1).alias("lead"),
-        (F.col("n_apart") - F.col("half") + 1).alias("upto"),
-    )
-    first = marked.select("node", "size", "lead", F.explode("by_added").alias("x")).where("x.often > 1").select(F.col("x.key").alias("key"), "node", "size", "lead")
-    second = marked.select("node", "size", "upto", F.posexplode("by_apart").alias("i", "x")).where("x.often > 1").select(F.xxhash64("x.key").alias("key"), "node", "size", (F.col("i") < F.col("upto")).alias("lead"))
-    return first.unionByName(second).groupBy("key", "node").agg(F.first("size").alias("size"), F.max("lead").alias("lead"))
+                full = max(1, -(-(excess - bound) // (2 * w)), -(-(excess * p - q * 100 * len(x)) // (w * p))) if far else half
+                lead = max(0, apart - half + 1)
+                rows.append((not far, far, apart, excess, lead))
+                firsts.append(np.concatenate([more, less])[: max(lead, apart - full + 1)].view(np.int64))
+            if rows:
+                columns = [pa.array(v, t) for v, t in zip(zip(*rows), [pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int32()])]
+                yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns, pa.array(firsts, pa.list_(pa.int64()))], ["leader", "node", "linked", "far", "apart", "excess", "lead", "first"])
+
+
+def _narrow(seen: DataFrame, level: int) -> DataFrame:
+    """Buckets of nodes that share what sets them apart from their leader, by the rule of ``_Compare``."""
+    rows = seen.select(F.xxhash64("path", "leader").alias("path"), "node", "size", "far", "apart", "excess", "lead", F.posexplode("first").alias("at", "h"))
+    return rows.select(F.xxhash64("path", "h").alias("key"), "path", "node", "size", (F.col("at") < F.col("lead")).alias("lead"), "far", (F.col("apart") - F.col("at")).alias("rest"), "excess")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, k, percent, bands, rows).drop("version")
+
+
+def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = linking.checkpoint(texts.mapInArrow(_Signatures(k, bands, rows), "doc_id long, n_shingles long, node binary, bands array<long>"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    versions = texts.withColumn("version", F.xxhash64("text"))
+    signed = linking.checkpoint(versions.mapInArrow(_Signatures(k, bands, rows), "doc_id long, version long, n_shingles long, digest binary, bands array<long>"))
+    nodes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    nodes = linking.checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "size", F.lit(True).alias("lead"))
-    ids = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     held: dict[str, DataFrame] = {}
 
     def fetch(tried: DataFrame) -> DataFrame:
         """The sets of these nodes, made from their texts once."""
         if "sets" in held:
             tried = tried.join(held["sets"].select("node"), "node", "left_anti")
-        chosen = linking.checkpoint(ids.join(tried, "node"))
+        chosen = linking.checkpoint(nodes.select("node", "digest", "first_id").join(tried, "node"))
         count = chosen.count()
         if count or "sets" not in held:
-            wanted = chosen.select(F.col("doc_id").alias("wanted")).distinct()
+            wanted = chosen.select(F.col("first_id").alias("wanted")).distinct()
             if count <= MAX_BROADCAST_ROWS:
                 wanted = F.broadcast(wanted)
-            found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_Sets(k), "node binary, shingles binary")
-            found = linking.checkpoint(found.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+            found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_Sets(k), "digest binary, shingles binary")
+            found = linking.checkpoint(found.join(chosen.select("node", "digest"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles")))
             held["sets"] = found.unionByName(held["sets"]) if "sets" in held else found
         return held["sets"]
 
     def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
         sets = fetch(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct())
         x, y = sets.select(F.col("node").alias(a), F.col("shingles").alias("x")), sets.select(F.col("node").alias(b), F.col("shingles").alias("y"))
-        return pairs.join(x, a).join(y, b).select(a, b, "x", "y")
+        return pairs.join(y, b).join(x, a).select(a, b, "x", "y")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return beside(pairs, "a", "b").mapInArrow(_Confirm(percent), "a binary, b binary")
+        return beside(pairs, "a", "b").mapInArrow(_Confirm(percent), "a long, b long")
 
-    def refine(led: DataFrame) -> DataFrame:
-        return _narrower(beside(led, "leader", "node").mapInArrow(_Differences(percent), _Differences.SCHEMA))
+    def compare(pairs: DataFrame) -> DataFrame:
+        return beside(pairs.select("leader", "node"), "leader", "node").mapInArrow(_Compare(percent), _Compare.SCHEMA)
 
-    _, roots = linking.link(buckets, verify, lambda p, q: f"100 * least({p}, {q}) >= {percent} * greatest({p}, {q})", refine)
-    named = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a shared one at a place leaves no more than the rest of either to share
+    able = f"(x.far or y.far) and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and 2 * {100 + percent} * least(x.rest, y.rest) >= x.excess + y.excess"
+    roots = linking.classes(buckets, compare, _narrow, verify, able, central=True)
+    named = nodes.select("node", "digest", "first_id")
+    named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(least, "root").select("digest", "component_id")
+    out = signed.select("doc_id", "version", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "version", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, with their own columns, without documents that are not kept."""
-    gone = near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+    """The rows of ``docs``, with their own columns, without documents that are not kept.
+
+    Rows of one doc_id with different texts are judged each by its own text; of a group whose rows all have a
+    null doc_id, all stay.
+    """
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    texts = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("version"))
+    gone = _judged(docs, k, percent, bands, rows).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
+    left = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -307,7 +307,7 @@ def test_band_is_exact():
 @pytest.mark.parametrize("threshold", [1, 2])
 def test_line_dedup(spark, threshold):
     r = random.Random(4)
-    base = ["".join(r.choice("abcdé ") for _ in range(r.randint(20, 40))) for _ in range(12)]
+    base = ["".join(r.choice("abcdé ") for _ in range(r.randint(6, 40))) for _ in range(12)]
 
     def edit(x):
         k = r.randrange(len(x))
@@ -324,7 +324,7 @@ def test_line_dedup(spark, threshold):
         return a
 
     for a, b in itertools.combinations(list(root), 2):
-        if min(len(a), len(b)) >= 20 and distance(a, b) <= threshold:
+        if distance(a, b) <= min(threshold, min(len(a), len(b)) // 10):
             root[find(b)] = find(a)
     first = {}
     for i, k, x in lines:
