@@ -7,13 +7,10 @@ the columns of documents; the last returns the pieces of the packed windows.
 
 from __future__ import annotations
 
-import tempfile
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from streamloom.llm import decontam, line_dedup, near_dup, packing, quality
+from streamloom.llm import decontam, line_dedup, linking, near_dup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +23,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text.
     """
-    out = line_dedup.dedup_lines(docs)
-    left = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(left | (F.col("__n_gone") == 0)).withColumn("n_chars", F.when(F.col("__n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    folder = context.getCheckpointDir()
+    folder = linking.shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     token = spark._jvm.java.util.UUID.randomUUID().toString()
     for i, (name, stage) in enumerate(STAGES):
