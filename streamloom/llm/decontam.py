@@ -6,24 +6,25 @@ the others, so that a substituted word spoils the hashes of some masks at some
 places only. Hashes of the corpus are looked up among those of the benchmark,
 and around each hit the two texts are laid on one another: a document is
 contaminated by an item if, on that diagonal, ``min_words`` consecutive words
-(all of a shorter item) agree in ``percent`` of their places or more. The masks
-are such that every such overlap of ``min_words`` words has a hit. Items of
-under 12 words, where the masks would miss some, have masks of their own length
+(all of a shorter item) agree in ``percent`` of their places or more. ``complete`` proves for the parameters given that
+every such overlap of ``min_words`` words has a hit; others are refused. Items of
+fewer words, where the masks would miss some, have masks of their own length
 that ignore each choice of as many parts as words may differ.
 
 The benchmark is the small side: it is read in blocks of at most
-``block_words`` words, each block's index is of bounded size and is sent to all
-tasks, and the corpus is passed through once per block without a shuffle.
-
-Nulls: null texts are empty and match nothing; null item_ids are left out.
-Repeated items count once. Repeated doc_ids: each row is judged by itself by
-``drop_contaminated``; ``find_contaminated`` answers rows of one doc_id
-together. Empty tables contaminate nothing. Extra columns pass or are ignored.
-Texts are searched whole.
+``block_words`` words. One block's index at a time, of bounded size, is sent to
+all tasks, the corpus is passed through, what it hits is written down, and the
+index is released before the next block is read.
+
+Nulls: null texts are empty and match nothing; null item_ids are left out; a
+null doc_id is an id of its own. Repeated items count once. Repeated doc_ids:
+each row is judged by its own text. Empty tables contaminate nothing. Extra
+columns pass, whatever their names, or are ignored. Texts are searched whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,16 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.text import Slice, mix, prefix_hash, slices, span_hash
+from streamloom.llm import linking
+from streamloom.llm.text import Slice, mix, slices, word_hash
 
 #: The places that each mask compares (1) and ignores (0).
 MASKS = ("11111", "11011001", "1101000011", "110000101001")
 MIN_WORDS, PERCENT, BLOCK_WORDS = 13, 80, 500_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-#: Items of fewer words are looked up by their own masks.
-SHORT = 12
+_WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _TABLE_BITS = 24
+#: Hit documents are sent to all tasks up to this many (16 bytes each); beyond, they are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def complete(masks: tuple[str, ...], min_words: int, percent: int) -> bool:
+    """Whether any choice of words that may differ in a window leaves some mask, somewhere in it, unspoiled."""
+    spoiled = min_words - -(-percent * min_words // 100)
+    seeds = [{at + k for k, c in enumerate(m) if c == "1"} for m in masks for at in range(min_words - len(m) + 1)]
+    return all(any(seed.isdisjoint(chosen) for seed in seeds) for chosen in combinations(range(min_words), spoiled))
 
 
 def words_of(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +64,7 @@ def words_of(s: Slice) -> tuple[np.ndarray, np.ndarray]:
         begins[1:] &= ~solid[:-1] | edge[1:-1]
         ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return np.searchsorted(s.offsets, start, side="right") - 1, span_hash(prefix_hash(s.data, True), start, end)
+    return np.searchsorted(s.offsets, start, side="right") - 1, word_hash(s.data, start, end, True)
 
 
 def _seeds(words: np.ndarray, owner: np.ndarray, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ def _picked(words: np.ndarray, at: np.ndarray, places: np.ndarray, salt: int) ->
 class Index:
     """A block of the benchmark: its words end to end, and where each seed hash stands."""
 
-    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...], percent: int = PERCENT):
+    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...] = MASKS, percent: int = PERCENT, min_words: int = MIN_WORDS):
         self.ids = np.array(ids, dtype=np.int64)
         owners, words, shift = [], [], 0
         for s in slices(pa.array(texts, pa.string())):
@@ -103,7 +113,7 @@ class Index:
         # by length and mask: the hash of each short item
         self.short: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
         sizes = np.diff(self.bounds)
-        for n in np.unique(sizes[(sizes > 0) & (sizes < SHORT)]).tolist():
+        for n in np.unique(sizes[(sizes > 0) & (sizes < min_words)]).tolist():
             items = np.flatnonzero(sizes == n)
             for number, places in enumerate(short_masks(n, percent)):
                 table: dict[int, list[int]] = {}
@@ -164,7 +174,7 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[int],
     ids, texts, held = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
-        n = row["text"].count(" ") + 1
+        n = len(_WORDS.findall(row["text"]))
         if held and held + n > block_words:
             yield ids, texts
             ids, texts, held = [], [], 0
@@ -175,48 +185,60 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-class _Pass:
-    """Per row of a batch, the items of this block that contaminate it."""
+class _Hits:
+    """For each text that an item of this block contaminates, its doc_id and version with the item's id."""
 
-    def __init__(self, index, text: int, min_words: int, percent: int, drop: bool):
-        self.index, self.text, self.min_words, self.percent, self.drop = index, text, min_words, percent, drop
+    def __init__(self, index, min_words: int, percent: int):
+        self.index, self.min_words, self.percent = index, min_words, percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = self.index.value
         for batch in batches:
-            hits: dict[int, set[int]] = {}
-            for s in slices(batch.column(self.text)):
-                hits |= {s.first + i: items for i, items in contaminated(index, s, self.min_words, self.percent).items()}
-            if self.drop:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[list(hits)] = False
-                yield batch.filter(pa.array(keep))
-            elif hits:
-                rows = sorted(hits)
-                pairs = [(r, int(index.ids[i])) for r in rows for i in sorted(hits[r])]
-                ids = batch.column(0).take(pa.array([r for r, _ in pairs], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "item_id"])
+            pairs = []
+            for s in slices(batch.column("text")):
+                for i, items in contaminated(index, s, self.min_words, self.percent).items():
+                    pairs += [(s.first + i, int(index.ids[item])) for item in items]
+            if pairs:
+                rows = pa.array([r for r, _ in pairs], pa.int64())
+                own = [batch.column(c).take(rows) for c in ("doc_id", "version")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "version", "item_id"])
+
+
+def hits(texts: DataFrame, benchmark: DataFrame, min_words: int, percent: int, block_words: int) -> DataFrame:
+    """(doc_id, version, item_id) of contaminated texts (doc_id, text, version), block by block; a version is a text's hash."""
+    if not complete(MASKS, min_words, percent):
+        raise ValueError(f"the masks would miss overlaps of {min_words} words at {percent} percent")
+    spark, found = texts.sparkSession, None
+    for ids, items in blocks(benchmark, block_words):
+        index = spark.sparkContext.broadcast(Index(ids, items, MASKS, percent, min_words))
+        part = linking.checkpoint(texts.mapInArrow(_Hits(index, min_words, percent), "doc_id long, version long, item_id long"))
+        index.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "doc_id long, version long, item_id long") if found is None else found
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """row (a struct of the document's own columns), doc_id, text and version."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row.text").cast("string")
+    return own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items and item_ids, sorted."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    context, found = docs.sparkSession.sparkContext, None
-    for ids, items in blocks(benchmark, block_words):
-        hits = texts.mapInArrow(_Pass(context.broadcast(Index(ids, items, MASKS, percent)), 1, min_words, percent, False), "doc_id long, item_id long")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    lists = found.groupBy(F.col("doc_id").alias("__hit")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = texts.select("doc_id").join(lists, F.col("doc_id").eqNullSafe(F.col("__hit")), "left")
+    texts = _texts(docs).drop("row")
+    found = hits(texts, benchmark, min_words, percent, block_words)
+    lists = found.groupBy(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    out = texts.select("doc_id", "version").join(lists, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version")), "left")
     items = F.coalesce("item_ids", F.array().cast("array<long>"))
     return out.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with their own columns; nothing is shuffled."""
-    at = [c.lower() for c in docs.columns].index("text")
-    out = docs.withColumn("text", F.col("text").cast("string"))
-    for ids, items in blocks(benchmark, block_words):
-        out = out.mapInArrow(_Pass(docs.sparkSession.sparkContext.broadcast(Index(ids, items, MASKS, percent)), at, min_words, percent, True), out.schema)
-    return out
+    """The rows of ``docs`` that no item contaminates, with their own columns."""
+    texts = _texts(docs)
+    found = linking.checkpoint(hits(texts.drop("row"), benchmark, min_words, percent, block_words).select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct())
+    if found.count() <= MAX_BROADCAST_ROWS:
+        found = F.broadcast(found)
+    left = texts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("version") == F.col("hit_version")), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

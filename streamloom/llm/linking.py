@@ -18,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of a narrower bucket of up to this many nodes are tried at once: a bounded number for each node.
-FEW = 64
+#: Pairs of a narrower bucket of up to this many nodes are tried at once; in every further round, of up to GROWTH times
+#: as many, since what is left then is little and rounds cost more than pairs.
+FEW, GROWTH = 64, 4
 
 
 def shared_folder(spark) -> str:
@@ -113,14 +114,14 @@ def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narro
         mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
         members = checkpoint(rooted.join(mixed, "key"))
         if level:
-            last = level == levels
-            few = members if last else members.where(F.col("n") <= FEW)
+            last, limit = level == levels, FEW * GROWTH ** (level - 1)
+            few = members if last else members.where(F.col("n") <= limit)
             x, y = few.alias("x"), few.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.lead") | F.col("y.lead")) & F.expr(able))
             pairs = checkpoint(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
             if not pairs.isEmpty():
                 roots = _merge(roots, checkpoint(verify(pairs)))
-            members = members.where(F.col("n") > FEW)
+            members = members.where(F.col("n") > limit)
             if last or members.isEmpty():
                 return roots
         rank = F.struct("lead", F.col("node"), F.col("size"))

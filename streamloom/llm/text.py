@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -61,6 +62,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of a word from which it is hashed by itself: polynomials modulo 2^64 of long strings have structured collisions.
+LONG_WORD = 32
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of words, which are short but for a few; those go through XXH3."""
+    out = span_hash(prefix_hash(data, lower), start, end)
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        word = data[start[i] : end[i]].tobytes()
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out
+
+
 class Slice:
     """Consecutive rows of a batch: their bytes end to end, and where each begins."""
 
@@ -85,7 +99,7 @@ class Slice:
             ends[:-1] &= ws[1:] | edge[1:-1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         doc = np.searchsorted(self.offsets, start, side="right") - 1
-        return start, end, doc, span_hash(prefix_hash(self.data, lower), start, end)
+        return start, end, doc, word_hash(self.data, start, end, lower)
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
