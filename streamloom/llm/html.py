@@ -11,13 +11,14 @@ what is left: lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments go, and if lines of an article are left, only they stay.
 Scripts, styles and the like are no text.
 
-Pages are range-partitioned by host and path, so a host with a third of all
-pages spreads over many tasks; a page at the edge of a partition has one
-neighbour, or none if it is alone there, which leaves template lines
-in its text.
+Pages are cut into chunks of their order by bounds, so a host with a third of
+all pages spreads over many tasks. Every chunk also gets the nearest pages
+before and after it that its first and last pages are to be compared with, so
+the result depends neither on the bounds nor on partitions.
 
 Nulls: a null html is empty and gives an empty text; a null url has host ''.
-Repeated pages are compared with other texts only, never with their own copies.
+A page is compared with the nearest page before and after it whose html differs
+from its own, never with its own copies.
 Empty tables give no rows; extra columns are ignored. Very long pages are
 parsed in one pass, and alignment works on the lines that both pages have.
 """
@@ -26,13 +27,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Elements of the HTML standard by what they mean for extraction.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"))
@@ -164,27 +166,113 @@ def main_text(own: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]
     return "\n\n".join(article or [t for t, _ in left])
 
 
+class _Assign:
+    """Adds the chunk of each page, and rows that stand beside a chunk: -1 before it, 1 behind it, 0 in it."""
+
+    def __init__(self, layout):
+        self.layout = layout
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, beside = self.layout.value
+        for batch in batches:
+            rows, chunks, sides = [], [], []
+            for i, key in enumerate(_order(batch)):
+                rows.append(i)
+                chunks.append(bisect_right(bounds, key))
+                sides.append(0)
+                for chunk, side in beside.get(key, ()):
+                    rows.append(i)
+                    chunks.append(chunk)
+                    sides.append(side)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(chunks, pa.int32()), pa.array(sides, pa.int32())], [*batch.schema.names, "chunk", "side"])
+
+
+def _order(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The order of pages: host, path, page_id (nulls first), html."""
+    for host, path, page, mark in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id", "mark"))):
+        yield host, path, page is not None, page or 0, mark
+
+
+class _Edges:
+    """Per chunk, its first and last page and the first and last whose html differs from that, as far as these rows tell."""
+
+    SCHEMA = "chunk int, host string, path string, page_id long, mark long"
+
+    def __init__(self, bounds):
+        self.bounds = bounds
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: dict[int, list] = {}
+        for batch in batches:
+            for key in _order(batch):
+                chunk = bisect_right(self.bounds.value, key)
+                edges[chunk] = outer([*edges.get(chunk, ()), key])
+        rows = [(chunk, host, path, page if known else None, mark) for chunk, keys in edges.items() for host, path, known, page, mark in keys]
+        if rows:
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["chunk", "host", "path", "page_id", "mark"])
+
+
+def outer(keys: list[tuple]) -> list[tuple]:
+    """Of some keys of pages: on either side, the outermost and the outermost of another html than that."""
+    keys = sorted(set(keys))
+    out = set()
+    for side in (keys, keys[::-1]):
+        out.add(side[0])
+        out.update([k for k in side if k[-1] != side[0][-1]][:1])
+    return sorted(out)
+
+
+def _beside(edges: dict[int, list[tuple]]) -> dict[tuple, list[tuple[int, int]]]:
+    """For each page that another chunk needs, that chunk and the side on which the page stands."""
+    out: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    chunks = sorted(edges)
+    for side, order in ((-1, chunks), (1, chunks[::-1])):
+        seen: list[tuple] = []  # the nearest page so far, and the nearest of another html
+        for chunk in order:
+            for key in seen:
+                out[key].append((chunk, side))
+            last = edges[chunk] if side == 1 else edges[chunk][::-1]
+            near = last + seen
+            seen = near[:1] + [k for k in near if k[-1] != near[0][-1]][:1]
+    return dict(out)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of host and path; each is compared with those before and after it of its host."""
-    before = held = None  # the last other page of the host; the page that waits for its successor
+    """Rows come in order of chunk and page; each is compared with the nearest other pages before and after it of its host."""
+    before: tuple | None = None  # the last page of another html than the pages that wait
+    waiting: list[tuple] = []  # pages of one html, until one of another follows
 
-    def finish(row: tuple, after: tuple | None) -> tuple:
-        text = main_text(row[3], [x[3] for x in (before, after) if x and x[2] == row[2] and x[3] != row[3]])
-        return row[0], row[1], text, len(text)
+    def finish(after: tuple | None) -> list[tuple]:
+        if not waiting:
+            return []
+        near = [x for x in (before, after) if x]
+        done = []
+        for side, page, url, host, _, own in waiting:
+            if side == 0:
+                text = main_text(own, [x[5] for x in near if x[3] == host])
+                done.append((page, url, text, len(text)))
+        return done
 
+    chunk = None
     for batch in batches:
         done = []
-        for page, url, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
-            row = (page, url, host, blocks(html or ""))
-            if held:
-                done.append(finish(held, row))
-                if held[3] != row[3]:
-                    before = held
-            held = row
+        for at, side, page, url, host, html, mark in zip(*(batch.column(c).to_pylist() for c in ("chunk", "side", "page_id", "url", "host", "html", "mark"))):
+            if at != chunk:
+                done += finish(None)
+                chunk, before, waiting = at, None, []
+            if waiting and waiting[0][4] == mark:
+                waiting.append((side, page, url, host, mark, waiting[0][5]))
+                continue
+            row = (side, page, url, host, mark, blocks(html or ""))
+            done += finish(row)
+            before = waiting[-1] if waiting else None
+            waiting = [row]
         if done:
             yield _batch(done)
-    if held:
-        yield _batch([finish(held, None)])
+    if done := finish(None):
+        yield _batch(done)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -192,8 +280,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text (empty if none), n_chars."""
+#: Chunks to a shuffle partition, about.
+CHUNKS = 8
+
+
+def extract(pages: DataFrame, chunks: int | None = None) -> DataFrame:
+    """One row per page: page_id, url, text (empty if none), n_chars.
+
+    Bounds of chunks come from a sample of keys; they say which task does what, never what it answers. The
+    driver holds a bound and up to four keys of pages a chunk, no html, and the chunks follow the cluster's
+    shuffle partitions, not the pages.
+    """
+    spark = pages.sparkSession
+    chunks = chunks or CHUNKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -201,5 +300,17 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
         F.col("html").cast("string").alias("html"),
-    )
-    return rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    ).withColumn("mark", F.xxhash64("html"))
+    keys = rows.select("host", "path", "page_id", "mark")
+    total = keys.count()
+    sampled = keys.sample(min(1.0, chunks / total), seed=1).collect() if total else []
+    bounds = sorted({(r.host, r.path, r.page_id is not None, r.page_id or 0, r.mark) for r in sampled})
+    known = _Edges(spark.sparkContext.broadcast(bounds))
+    near: dict[int, list] = {}
+    for r in keys.mapInArrow(known, _Edges.SCHEMA).repartition("chunk").mapInArrow(known, _Edges.SCHEMA).collect():
+        near.setdefault(r.chunk, []).append((r.host, r.path, r.page_id is not None, r.page_id or 0, r.mark))
+    layout = spark.sparkContext.broadcast((bounds, _beside({c: sorted(k) for c, k in near.items()})))
+    schema = StructType([*rows.schema.fields]).add("chunk", "integer").add("side", "integer")
+    dealt = rows.mapInArrow(_Assign(layout), schema)
+    order = ["chunk", "host", "path", "page_id", "mark"]
+    return dealt.repartition("chunk").sortWithinPartitions(*order).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -14,8 +14,9 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from streamloom.llm import chat, decontam, html, line_dedup, near_dup, packing, pii, quality, secrets, suffix_dedup
+from streamloom.llm import chat, decontam, html, line_dedup, linking, near_dup, packing, pii, quality, secrets, suffix_dedup
 from streamloom.llm.queries import ORACLE_SQL, QUERIES
 from streamloom.llm.text import slices
 
@@ -87,6 +88,80 @@ def test_near_duplicates(spark, odd, empty, documents):
     assert near_dup.drop_near_duplicates(odd).columns == odd.columns
 
 
+def brute_components(texts, k, percent):
+    sets = [shingle_set(x, k) for x in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        n = len(sets[a] & sets[b])
+        if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return [find(a) for a in range(len(texts))]
+
+
+@pytest.mark.parametrize("few, growth", [(64, 4), (2, 2)])
+def test_large_groups_lose_no_link(spark, monkeypatch, few, growth):
+    """Copies with words replaced, dropped and added, families within the group, and texts cut short; narrow buckets decide."""
+    monkeypatch.setattr(linking, "FEW", few)
+    monkeypatch.setattr(linking, "GROWTH", growth)
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [r.choice(vocabulary) for _ in range(90)]
+    families = [base] + [[r.choice(vocabulary) if r.random() < 0.12 else w for w in base] for _ in range(4)]
+    texts = []
+    for _ in range(240):
+        words_ = [w for w in r.choice(families)]
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4, 6])):
+            i = r.randrange(len(words_))
+            words_[i : i + 1] = r.choice([[r.choice(vocabulary)], [], [words_[i], r.choice(vocabulary)]])
+        texts.append(" ".join(words_[: r.choice([90, 90, 70])]))
+    want = brute_components(texts, 3, 85)
+    assert 4 < len(set(want)) < 200
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=3, percent=85).collect()
+    assert {q.doc_id: q.component_id for q in got} == dict(enumerate(want))
+
+
+def test_hot_segment_loses_no_link(spark, monkeypatch):
+    """Lines with two thirds in common: a segment's bucket holds them all."""
+    monkeypatch.setattr(linking, "FEW", 3)
+    r = random.Random(12)
+    texts = ["the same beginning of every line " + "".join(r.choice("abcdefgh") for _ in range(3)) + " end" for _ in range(150)]
+    texts += ["another beginning of all these " + "".join(r.sample("abcdefghijkl", 12)) for _ in range(150)]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if distance(texts[a], texts[b]) <= 1:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {q.doc_id: q.text for q in line_dedup.dedup_lines(df, threshold=1).collect()}
+    assert got == {i: texts[i] if find(i) == i else "" for i in range(len(texts))}
+
+
+def test_hashes_part_structured_strings(spark):
+    """The Thue-Morse word and its complement collide in any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
+    assert {q.doc_id: q.text for q in line_dedup.dedup_lines(df).collect()} == {1: word, 2: other}
+    assert {q.component_id for q in near_dup.near_duplicates(df).collect()} == {1, 2}
+    items = spark.createDataFrame([(7, word)], "item_id long, text string")
+    assert {q.doc_id: q.contaminated for q in decontam.find_contaminated(df, items).collect()} == {1: True, 2: False}
+
+
 def test_null_doc_id_is_linked_with_a_near_copy(spark):
     text = " ".join(f"word{i}" for i in range(200))
     df = spark.createDataFrame([(1, text), (None, text + " more")], "doc_id long, text string")
@@ -391,7 +466,7 @@ def test_html(spark):
         (3, "http://a.example/x/3", page("<div>Site line</div><p>Own text three</p>"), 0),
         (4, None, None, 0), (5, "http://b.example/", "", 0), (6, "http://c.example/", "bare text &lt;", 0),
     ]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").coalesce(1)).collect()}
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()}
     assert got == {1: "A & B\n\nOne two three bold x", 2: "Own text two", 3: "Own text three", 4: "", 5: "", 6: "bare text <"}
     assert html.common(list("abcbdab"), list("bdcaba")) in ({1, 2, 3, 5}, {1, 2, 5, 6}, {1, 3, 4, 6}, {1, 4, 5, 6}) or len(html.common(list("abcbdab"), list("bdcaba"))) == 4
 
@@ -404,6 +479,42 @@ def test_html_differencing_decides_inside_articles():
     assert html.main_text(two, [one, one]) == "Second text of its own"
 
 
+def lcs_size(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_html_alignment_is_longest(spark):
+    pages = sorted(spark.read.parquet(f"{DATA}/pages.parquet").collect(), key=lambda r: r.url)
+    lines = [[t for t, _ in html.blocks(r.html or "")] for r in pages]
+    for a, b in zip(lines, lines[1:]):
+        assert len(html.common(a, b)) == lcs_size(a, b)
+
+
+def test_html_does_not_depend_on_chunks_or_partitions(spark):
+    page = lambda i: f"<div>Site line {i % 3}</div><p>Own text {i}</p>"
+    rows = [(i, f"http://a.example/x/{i:03}", page(i)) for i in range(60)]
+    rows += [(100 + i, f"http://a.example/y/{i:03}", page(7)) for i in range(40)] + [(200, "http://a.example/z", "<div>Site line 1</div><p>End</p>"), (200, "http://a.example/z", "<div>Site line 1</div><p>End</p>"), (None, None, None), (None, "http://a.example/x/030", page(1)), (5, "http://b.example/", "<p>alone</p>" * 3000)]
+    def brute():
+        host = lambda u: (u or "").split("/")[2] if u else ""
+        path = lambda u: "/" + u.split("/", 3)[3] if u else ""
+        order = sorted(rows, key=lambda r: (host(r[1]), path(r[1]), r[0] is not None, r[0] or 0))
+        for i, r in enumerate(order):
+            near = [next((x for x in side if x[2] != r[2]), None) for side in (order[:i][::-1], order[i + 1 :])]
+            yield r[0], r[1], html.main_text(html.blocks(r[2] or ""), [html.blocks(x[2] or "") for x in near if x and host(x[1]) == host(r[1])])
+
+    want = sorted(brute(), key=str)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("chunk", F.lit(1)).withColumn("mark", F.lit("x"))
+    for partitions, chunks in ((1, 1), (4, 7), (9, 50), (3, 1000)):
+        got = html.extract(df.repartition(partitions), chunks).select("page_id", "url", "text").collect()
+        assert sorted(map(tuple, got), key=str) == want, (partitions, chunks)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 
