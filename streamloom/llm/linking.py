@@ -34,10 +34,16 @@ def shared_folder(spark) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of an intermediate table to a partition: what has come to be little is not dealt out to many tasks again.
+PARTITION_ROWS = 10_000
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; the rows decide in how many parts it is read."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    parts = -(-out.count() // PARTITION_ROWS)
+    return out.coalesce(max(1, parts)) if parts < out._jdf.rdd().getNumPartitions() else out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
