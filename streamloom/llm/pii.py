@@ -2,11 +2,13 @@
 
 Seeds are the spans that fixed patterns find: emails, IP addresses, card and
 phone numbers. The words before a seed are a lexical pattern for its kind; all
-other tokens with a digit are instances too. A bipartite graph of patterns and
-instances is scored in rounds: a pattern's confidence is the mean score of its
-distinct instances, an instance's score the noisy-or of the confidences of its
-patterns, and seeds stay at 1. Patterns of enough distinct seeds and enough
-confidence discover the unseen identifiers that stand behind them.
+other tokens with a digit are instances too. Patterns and instances are a
+bipartite graph, scored in rounds: a pattern's confidence is the sum of the
+scores of its known instances over all its distinct instances, so what else
+stands behind it counts against it; an instance's score is the noisy-or of the
+confidences of its trusted patterns. Instances of enough score are known from
+the next round on: they are seeds of new patterns, which discover others in
+turn, until a round finds nothing new.
 
 Everything is DataFrame functions; texts are read once, and from then on only
 spans and contexts are moved. Counts per pattern and instance are aggregated
@@ -34,10 +36,12 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
-    "token": (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[A-Za-z0-9@._%+:/-]{6,64}+(?![^\x20\x09-\x0D,;])", None),
+    "token": (r"(?<![^\x20\x09-\x0D\"'\[(<])(?=[^\x20\x09-\x0D0-9]*+[0-9])[A-Za-z0-9@._%+:/-]{6,}+(?![^\x20\x09-\x0D,;\"'\])>])", None),
 }
-#: A pattern must have this many distinct seeds, and this confidence, to discover.
-MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: A pattern must have this many distinct known instances, and this confidence, to be trusted; an instance this score to be known.
+MIN_KNOWN, MIN_CONFIDENCE, MIN_SCORE = 3, 0.8, 0.8
+#: Words of a pattern, and the characters before a span in which they are looked for; a word cut there is none.
+WORDS, CONTEXT = 2, 256
 
 
 def _digits(m: Column) -> Column:
@@ -66,48 +70,58 @@ def _keep(kind: str, m: Column) -> Column:
     return n.between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def _contexts(found: Column, kind: Column | None, text: Column) -> Column:
-    """struct(kind, start, end, instance, pattern) of each span; the pattern is the two words before it."""
+def _contexts(found: Column, kind: Column | None) -> Column:
+    """struct(kind, start, end, instance, pattern) of each span; the pattern is the last words before it, back to the match before it."""
+
+    def words(s: Column) -> Column:
+        parts = F.split(F.lower(F.rtrim(s["left"], F.lit("\"'([<"))), r"[\x20\x09-\x0D]+")
+        # a word at the edge of the context may be cut
+        return F.filter(parts, lambda w, i: (w != "") & ((i > 0) | (F.length(s["left"]) <= CONTEXT)))
 
     def one(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64)))
-        words = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        pattern = F.array_join(F.slice(words, -F.least(F.size(words), F.lit(2)), F.lit(2)), " ")
-        return F.struct((kind if kind is not None else F.lit(None).cast("string")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("instance"), F.when(F.size(words) > 0, pattern).otherwise("").alias("pattern"))
+        pattern = spans.let(words(s), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - WORDS + 1, F.lit(1)), F.lit(WORDS)), " "))
+        return F.struct((kind if kind is not None else F.lit(None).cast("string")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("instance"), pattern.alias("pattern"))
 
     return F.transform(found, one)
 
 
-def score(edges: DataFrame) -> DataFrame:
-    """(pattern, kind) with confidence and seeds, of the patterns that may discover.
+def bootstrap(edges: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence, known) of the trusted patterns.
 
     ``edges`` has kind (null for instances that are no seeds), pattern and instance.
     """
-    seeds = edges.where("kind is not null and pattern <> ''").select("pattern", "kind", "instance").distinct()
-    strong = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    others = edges.where("kind is null").select("pattern", "instance").distinct().join(strong.select("pattern", "kind"), "pattern").select("pattern", "kind", "instance")
-    known = seeds.join(strong.select("pattern", "kind"), ["pattern", "kind"])
-    graph = linking.checkpoint(known.withColumn("seed", F.lit(True)).unionByName(others.withColumn("seed", F.lit(False))).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
-    scores = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(ROUNDS):
-        confidence = graph.join(scores, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        raised = graph.join(confidence, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("noisy"))
-        scores = linking.checkpoint(raised.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("noisy")).alias("score")))
-    return confidence.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
+    graph = linking.checkpoint(edges.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    sizes = linking.checkpoint(graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_KNOWN))
+    graph = linking.checkpoint(graph.join(sizes.select("pattern"), "pattern"))
+    known = linking.checkpoint(graph.where("kind is not null").select("kind", "instance", F.lit(1.0).alias("score")).distinct())
+    count = known.count()
+    while True:
+        support = graph.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("known"))
+        trusted = support.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / F.col("n")).alias("confidence"), "known")
+        trusted = linking.checkpoint(trusted.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("known") >= MIN_KNOWN)))
+        if trusted.isEmpty():
+            return trusted
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+        reached = graph.where("kind is null").select("pattern", "instance").join(trusted, "pattern").groupBy("kind", "instance").agg((1 - doubt).alias("score"))
+        now = linking.checkpoint(known.where("score = 1.0").unionByName(reached.where(F.col("score") >= MIN_SCORE).withColumn("score", F.least("score", F.lit(1 - 1e-9)))))
+        before, count = count, now.count()
+        known = now
+        if count <= before:
+            return trusted
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, an array of spans for each kind, and ``more``, those that patterns discovered."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = spans.find(rows, "text", PATTERNS)
+    found = spans.find(rows, "text", PATTERNS, CONTEXT)
     found = found.withColumns({k: F.filter(k, _kept(k)) for k in KINDS})
     found = found.withColumn("token", F.when(F.size("token") > 0, spans.clear_of(F.col("token"), *(F.col(k) for k in KINDS))).otherwise(F.col("token")))
-    found = found.withColumn("seen", F.concat(*(_contexts(F.col(k), F.lit(k), F.col("text")) for k in KINDS), _contexts(F.col("token"), None, F.col("text"))))
+    found = found.withColumn("seen", F.concat(*(_contexts(F.col(k), F.lit(k)) for k in KINDS), _contexts(F.col("token"), None)))
     plain = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS}
     found = linking.checkpoint(found.select(F.monotonically_increasing_id().alias("__row"), "doc_id", *plain.values(), "seen"))
     edges = found.where(F.size("seen") > 0).select("__row", F.explode("seen").alias("e")).select("__row", "e.*")
-    good = score(edges.select("kind", "pattern", "instance"))
-    best = good.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "seeds", "kind")).alias("named"))
+    good = bootstrap(edges.select("kind", "pattern", "instance"))
+    best = good.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "known", "kind")).alias("named"))
     more = edges.where("kind is null").join(best, "pattern").groupBy("__row").agg(F.collect_set(F.struct(F.col("named").alias("kind"), "start", "end")).alias("more"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.drop("seen").join(more, "__row", "left").select("doc_id", *KINDS, F.coalesce("more", empty).alias("more"))
