@@ -20,9 +20,12 @@ def in_nyc(lon: Column | str, lat: Column | str) -> Column:
     return _double(lon).between(LON_WEST, LON_EAST) & _double(lat).between(LAT_SOUTH, LAT_NORTH)
 
 
+def _cell_xy(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
+    return F.floor((F.lit(-LON_WEST) - F.abs(_double(lon))) / CELL_LON), F.floor((F.lit(LAT_NORTH) - _double(lat)) / CELL_LAT)
+
+
 def grid_cell(lon: Column | str, lat: Column | str) -> Column:
-    x = F.floor((F.lit(-LON_WEST) - F.abs(_double(lon))) / CELL_LON)
-    y = F.floor((F.lit(LAT_NORTH) - _double(lat)) / CELL_LAT)
+    x, y = _cell_xy(lon, lat)
     return (x + y * CELLS_X).cast("int")
 
 
@@ -58,12 +61,33 @@ def direction_bucket(angle: Column) -> Column:
     return (angle / 45).cast("int")
 
 
-def cells_on_way(lon1: Column, lat1: Column, lon2: Column, lat2: Column, most: int = 1000) -> Column:
-    """Cells along the straight line, in order: the line is sampled at twice the larger cell distance, at most ``most`` times."""
-    ends = [_double(c) for c in (lon1, lat1, lon2, lat2)]
-    steps = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(2 * F.greatest(F.abs(ends[2] - ends[0]) / CELL_LON, F.abs(ends[3] - ends[1]) / CELL_LAT)).cast("int")))
-    cells = F.transform(F.sequence(F.lit(0), steps), lambda i: grid_cell(ends[0] + (ends[2] - ends[0]) * i / steps, ends[1] + (ends[3] - ends[1]) * i / steps))
-    return F.array_distinct(cells)
+def cells_on_way(lon1: Column | str, lat1: Column | str, lon2: Column | str, lat2: Column | str) -> Column:
+    """Cells that the line between the centres of two places' cells passes through, from west to east.
+
+    Whole numbers only: of the column i cells east of its start, the line leaves by the height
+    ((2i + 1) rows - columns) / (2 columns), and at a corner it goes on in the cell diagonally across.
+    """
+    (x1, y1), (x2, y2) = _cell_xy(lon1, lat1), _cell_xy(lon2, lat2)
+    turned = x1 > x2
+    x, y, rows = F.when(turned, x2).otherwise(x1), F.when(turned, y2).otherwise(y1), F.when(turned, y1 - y2).otherwise(y2 - y1)
+    line = F.struct(x.alias("x"), y.alias("y"), F.abs(x2 - x1).alias("columns"), F.abs(rows).alias("rows"), F.signum(rows).cast("long").alias("step"))
+
+    def cells(at: Column) -> Column:
+        def height(i: Column) -> Column:
+            return (2 * i + 1) * at["rows"] - at["columns"]
+
+        def leaves(i: Column) -> Column:
+            up = F.ceil(height(i) / (2 * at["columns"])).cast("long")
+            return F.when(i == at["columns"], at["rows"]).otherwise(F.greatest(up, F.lit(0).cast("long")))
+
+        def enters(i: Column) -> Column:
+            corner = (height(i - 1) >= 0) & (F.pmod(height(i - 1), 2 * at["columns"]) == 0)
+            return F.when(i == 0, F.lit(0).cast("long")).otherwise(leaves(i - 1) + corner.cast("long"))
+
+        column = lambda i: F.transform(F.sequence(enters(i), leaves(i)), lambda j: (at["x"] + i + (at["y"] + at["step"] * j) * CELLS_X).cast("int"))
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), at["columns"]), column))
+
+    return F.element_at(F.transform(F.array(line), cells), 1)
 
 
 def random_nyc_lon(seed: int | None = None) -> Column:

@@ -49,13 +49,35 @@ def _before_all(events: DataFrame, order: str, time: str) -> DataFrame:
     return before(events.withColumn("__all", F.lit(0)), ["__all"], order, {"__seen": ("max", F.col(time))}).drop("__all")
 
 
+def window_counts(split: DataFrame, size: str) -> DataFrame:
+    """Of rows that late_split has parted: the number of each user's rows on time in each window."""
+    counts = split.where("not late").groupBy("user_id", F.window("ts", size).alias("w")).agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.col("w.start").alias("window_start"), "n")
+
+
+def late_window_counts(split: DataFrame, size: int) -> DataFrame:
+    """The number of late rows among each ``size`` arrivals, of all users."""
+    return split.where("late").groupBy((F.col("arrival") - F.col("arrival") % size).alias("first_arrival")).agg(F.count("*").alias("n"))
+
+
+#: Control rows (queries) that are sent to all tasks, at most.
+MAX_CONTROL_ROWS = 100_000
+
+
+def control_rows(df: DataFrame) -> DataFrame:
+    """``df`` to be sent to all tasks, after its rows are counted; more than people can type are refused."""
+    if df.count() > MAX_CONTROL_ROWS:
+        raise ValueError(f"more than {MAX_CONTROL_ROWS} control rows")
+    return F.broadcast(df)
+
+
 def ending_rides_near(rides: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, taxi_id, km, event_id) of each END with each query asked before it.
 
-    ``queries`` are control rows, at most thousands: query_id, longitude, latitude, asked_at (an event_id).
+    ``queries`` are control rows: query_id, longitude, latitude, asked_at (an event_id).
     """
     ends = rides.where("not is_start")
-    pairs = ends.join(F.broadcast(queries), F.col("event_id") > F.col("asked_at"))
+    pairs = ends.join(control_rows(queries), F.col("event_id") > F.col("asked_at"))
     return pairs.select("query_id", "taxi_id", geo.euclid_km("end_lon", "end_lat", "longitude", "latitude").cast("float").alias("km"), "event_id")
 
 
@@ -71,6 +93,11 @@ def nearest_taxi_minima(rides: DataFrame, queries: DataFrame) -> DataFrame:
     return seen.where("least is null or km < least").select("query_id", "taxi_id", "km", "event_id")
 
 
+def nearest_taxi_trace(rides: DataFrame, queries: DataFrame) -> DataFrame:
+    """The least distance so far after every END, per query, in the order of arrival."""
+    return before(ending_rides_near(rides, queries), ["query_id"], "event_id", {"least": ("min", F.col("km"))}, inclusive=True)
+
+
 def latest(rides: DataFrame) -> DataFrame:
     """The last record of each ride by time, an END after a START at the same time."""
     row = F.struct("event_time", (~F.col("is_start")).alias("ended"), F.struct(*rides.columns).alias("r"))
@@ -80,7 +107,7 @@ def latest(rides: DataFrame) -> DataFrame:
 def ongoing_rides(rides: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query (query_id, minutes, asked_at time): rides whose latest record is a START of that many whole minutes ago or more."""
     age = F.floor((F.unix_millis("asked_at") - F.unix_millis("event_time")) / 60000)
-    return latest(rides).where("is_start").join(F.broadcast(queries), age >= F.col("minutes")).select("query_id", "ride_id", "event_time")
+    return latest(rides).where("is_start").join(control_rows(queries), age >= F.col("minutes")).select("query_id", "ride_id", "event_time")
 
 
 def matching(rides: DataFrame, predicate: str) -> DataFrame:

@@ -6,8 +6,6 @@ are parameters of the operators.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,9 +154,13 @@ l AS (SELECT event_id, user_id, ts, coalesce(ts <= seen - INTERVAL 1 HOUR, false
 """
 
 
-def _late(spark: SparkSession, d: str) -> DataFrame:
+def _arrived(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", F.expr(_ARRIVAL).alias("arrival"))
-    return ev.late_split(rows, "arrival", "ts", "1 hour").drop("arrival")
+    return ev.late_split(rows, "arrival", "ts", "1 hour")
+
+
+def _late(spark: SparkSession, d: str) -> DataFrame:
+    return _arrived(spark, d).drop("arrival")
 
 
 @query(_LATE + "SELECT * FROM l")
@@ -171,6 +173,16 @@ def late_counts(spark: SparkSession, d: str) -> DataFrame:
     return _late(spark, d).groupBy("user_id").agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"))
 
 
+@query(_LATE + "SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM l WHERE NOT late GROUP BY 1, 2")
+def window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ev.window_counts(_late(spark, d), "1 hour")
+
+
+@query(_LATE.replace("SELECT event_id, user_id, ts, coalesce(", "SELECT event_id, user_id, ts, arrival, coalesce(") + "SELECT arrival - arrival % 1000 AS first_arrival, count(*) AS n FROM l WHERE late GROUP BY 1")
+def late_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ev.late_window_counts(_arrived(spark, d), 1000)
+
+
 @query("SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS position FROM events")
 def event_time_sort(spark: SparkSession, d: str) -> DataFrame:
     return position(spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts"), "ts", "event_id", "position")
@@ -266,6 +278,11 @@ def nearest_taxi_minima(spark: SparkSession, d: str) -> DataFrame:
     return ev.nearest_taxi_minima(rides(spark, d), _asked(spark))
 
 
+@query(_NEAR + "SELECT query_id, event_id, taxi_id, km, min(km) OVER (PARTITION BY query_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS least FROM p")
+def nearest_taxi_trace(spark: SparkSession, d: str) -> DataFrame:
+    return ev.nearest_taxi_trace(rides(spark, d), _asked(spark))
+
+
 _LATEST = ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ride_id ORDER BY event_time DESC, is_start) AS k FROM rides) WHERE k = 1)\n"
 _AGES = "(VALUES (1, 60, TIMESTAMP '2024-01-10 00:00:00'), (2, 600, TIMESTAMP '2024-01-20 00:00:00'))"
 
@@ -325,6 +342,14 @@ def trips_to_rides(spark: SparkSession, d: str) -> DataFrame:
     return ingest.trips_to_rides(adapter._view(spark, d, _TRIPS))
 
 
+@query(f"""SELECT trip_id AS ride_id, driver_id, pickup AS start_time, CASE WHEN trip_id % 3 = 0 THEN 'CSH' ELSE 'CRD' END AS payment_type, round(tip, 6) AS tip, round(tolls, 6) AS tolls, round(fare + tip + tolls, 6) AS total_fare
+FROM (SELECT event_id AS trip_id, ts AS pickup, user_id AS driver_id, value / 10 AS tip, value / 100 AS tolls, value AS fare FROM events)""")
+def trips_to_fares(spark: SparkSession, d: str) -> DataFrame:
+    trips = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("trip_id"), F.col("ts").cast("timestamp").alias("pickup"), F.col("user_id").alias("driver_id"), (F.col("value") / 10).alias("tip"), (F.col("value") / 100).alias("tolls"), F.col("value").alias("fare"), F.when(F.col("event_id") % 3 == 0, "CSH").otherwise("CRD").alias("payment_type"))
+    out = ingest.trips_to_fares(trips)
+    return out.select("ride_id", "driver_id", "start_time", "payment_type", *(F.round(c, 6).alias(c) for c in ("tip", "tolls", "total_fare")))
+
+
 @query("SELECT event_id, is_start, CAST(start_lon AS FLOAT) AS start_lon, date_trunc('second', start_time) AS start_time, date_trunc('second', end_time) AS end_time, taxi_id FROM rides")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     lines = rides(spark, d).withColumn("passenger_cnt", F.lit(1)).withColumn("driver_id", F.col("event_id")).select(ingest.format_ride().alias("value"))
@@ -337,9 +362,20 @@ def predicate_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(safe_predicate("value > 100 and event_type in ('click', 'view')", rows.columns)).select("event_id", "user_id", "value")
 
 
-@query()
+_XY = lambda lon, lat: f"CAST({_X(lon)} AS BIGINT), CAST({_Y(lat)} AS BIGINT)"
+
+
+@query(f""", c(event_id, x1, y1, x2, y2) AS (SELECT event_id, {_XY('start_lon', 'start_lat')}, {_XY('end_lon', 'end_lat')} FROM rides WHERE {_BOTH}),
+l AS (SELECT event_id, least(x1, x2) AS x, CASE WHEN x1 > x2 THEN y2 ELSE y1 END AS y, abs(x2 - x1) AS dx, abs(y2 - y1) AS dy, CASE WHEN x1 > x2 THEN sign(y1 - y2) ELSE sign(y2 - y1) END AS s FROM c),
+i AS (SELECT *, unnest(range(0, dx + 1)) AS i FROM l),
+h AS (SELECT *, (2 * i + 1) * dy - dx AS h FROM i),
+o AS (SELECT *, CASE WHEN i = dx THEN dy WHEN h <= 0 THEN 0 ELSE (h + 2 * dx - 1) // (2 * dx) END AS leaves, CASE WHEN dx > 0 AND h >= 0 AND h % (2 * dx) = 0 THEN 1 ELSE 0 END AS corner FROM h),
+e AS (SELECT *, coalesce(lag(leaves + corner) OVER (PARTITION BY event_id ORDER BY i), 0) AS enters FROM o),
+j AS (SELECT *, unnest(range(enters, leaves + 1)) AS j FROM e)
+SELECT event_id, count(*) AS n_cells, string_agg(CAST(x + i + CAST(y + s * j AS BIGINT) * 250 AS VARCHAR), ',' ORDER BY i, j) AS cells FROM j GROUP BY event_id""")
 def cells_on_way(spark: SparkSession, d: str) -> DataFrame:
-    return tr.cleanse(rides(spark, d)).select("event_id", geo.cells_on_way(*(F.col(c) for c in ("start_lon", "start_lat", "end_lon", "end_lat"))).alias("cells"))
+    cells = tr.cleanse(rides(spark, d)).select("event_id", geo.cells_on_way("start_lon", "start_lat", "end_lon", "end_lat").alias("cells"))
+    return cells.select("event_id", F.size("cells").cast("long").alias("n_cells"), F.array_join("cells", ",").alias("cells"))
 
 
 @query()
@@ -347,4 +383,4 @@ def state_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Rides and fares that wait for each other in a stream's checkpoint, read offline."""
     from streamloom.streaming import jobs
 
-    return jobs.snapshot_of_unmatched(spark, rides(spark, d).where("is_start"), fares(spark, d), jobs.shared_folder(spark, tempfile.mkdtemp))
+    return jobs.snapshot_of_unmatched(spark, rides(spark, d).where("is_start"), fares(spark, d), jobs.shared_folder(spark))

@@ -114,16 +114,16 @@ def read_fares(spark: SparkSession, **options: str) -> DataFrame:
 
 
 def stream_rides(spark: SparkSession, *, files_per_batch: int = 1, **options: str) -> DataFrame:
-    """Rides as files arrive (plain or gzip), with the watermark that the delay asks for; 60 s without one."""
+    """Rides as files arrive (plain or gzip), with the watermark that the delay asks for."""
     checked = validate_options(options)
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(checked["path"])
-    return parse_rides(lines).withColumn("event_time", ride_event_time()).withWatermark("event_time", f"{checked['max_event_delay_secs'] or 60} seconds")
+    return parse_rides(lines).withColumn("event_time", ride_event_time()).withWatermark("event_time", f"{checked['max_event_delay_secs']} seconds")
 
 
 def stream_fares(spark: SparkSession, *, files_per_batch: int = 1, **options: str) -> DataFrame:
     checked = validate_options(options)
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(checked["path"])
-    return parse_fares(lines).withColumn("event_time", F.col("start_time")).withWatermark("event_time", f"{checked['max_event_delay_secs'] or 60} seconds")
+    return parse_fares(lines).withColumn("event_time", F.col("start_time")).withWatermark("event_time", f"{checked['max_event_delay_secs']} seconds")
 
 
 def stream_car_events(spark: SparkSession, path: str) -> DataFrame:
@@ -153,6 +153,11 @@ def trips_to_rides(trips: DataFrame) -> DataFrame:
     return trips.withColumn("e", F.explode(kinds)).select("trip_id", "e.is_start", "e.event_time", F.col("pickup").alias("start_time"), "e.end_time", "driver_id")
 
 
+def trips_to_fares(trips: DataFrame) -> DataFrame:
+    """The fare of each trip; the total is fare, tip and tolls."""
+    return trips.select(F.col("trip_id").alias("ride_id"), "driver_id", F.col("pickup").alias("start_time"), "payment_type", "tip", "tolls", (F.col("fare") + F.col("tip") + F.col("tolls")).alias("total_fare"))
+
+
 def simulated_customers(spark: SparkSession) -> DataFrame:
     """Scripted updates of one customer, as (seconds, info)."""
     rows = [(0, 0, "Customer A, updated at 0"), (0, 500, "Customer A, updated at 500"), (0, 1500, "Customer A, updated at 1500"), (0, 1600, "Customer A, updated at 1600"), (0, 2100, "Customer A, updated at 2100")]
@@ -160,7 +165,6 @@ def simulated_customers(spark: SparkSession) -> DataFrame:
 
 
 def simulated_trades(spark: SparkSession) -> DataFrame:
-    rows = [(0, 1000, "trade at 1000"), (0, 1200, "trade at 1200"), (0, 1500, "trade at 1500"), (0, 1800, "trade at 1800")]
+    """Scripted trades of the same customer."""
+    rows = [(0, ms, f"trade at {ms}") for ms in (1000, 1200, 1500, 1700, 1800, 2000)]
     return spark.createDataFrame(rows, "customer_id long, ms long, trade_info string").select(F.timestamp_millis("ms").alias("event_time"), "customer_id", "trade_info")
-
-

@@ -33,11 +33,17 @@ def test_options():
 
 
 def test_predicates():
-    for bad in ("reflect('java.lang.System', 'exit')", "java_method('a', 'b')", "unknown > 1", "is_start; drop", "x in (select 1)", "`x` = 1"):
+    for bad in ("reflect('java.lang.System', 'exit')", "java_method('a', 'b')", "unknown > 1", "is_start; drop", "x in (select 1)", "`x` = 1", "x = '\\\\' or java_method('java.lang.System', 'nanoTime') > '0'", "x = r'\\\\'", "x = '\\\\'"):
         with pytest.raises(ValueError):
             safe_predicate(bad, ["is_start", "x"])
 
 
+def test_predicates_hold_no_comment(spark):
+    df = spark.createDataFrame([(5, 1)], "x int, y int")
+    assert df.where(safe_predicate("x --1 = 6 and y == 1", df.columns)).count() == 1
+    assert df.where(safe_predicate("x /2 * 2 = 5 and 'it''s' <> '--'", df.columns)).count() == 1
+
+
 def test_sql_functions_agree(spark):
     geo.register(spark)
     df = spark.createDataFrame([(-73.99, 40.75), (-73.0, 40.75), (-74.0, 41.0)], "lon float, lat float")
