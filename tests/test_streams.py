@@ -81,10 +81,13 @@ def test_tips_chain_two_aggregates(spark, stream, tmp_path):
 
 def test_late_rows_are_kept_apart(spark, stream, tmp_path):
     on_time, late = [], []
-    split = jobs.LateSplitter("event_time", 60_000, lambda df: on_time.extend(r.ride_id for r in df.collect()), lambda df: late.extend(r.ride_id for r in df.collect()))
+    split = lambda: jobs.LateSplitter(spark, f"{tmp_path}/marks", "event_time", 60_000, lambda df: on_time.extend(r.ride_id for r in df.collect()), lambda df: late.extend(r.ride_id for r in df.collect()))
     s = stream("late", [[(1, True, at(10))], [(2, True, at(5)), (3, True, at(11))]], RIDES)
-    s.writeStream.foreachBatch(split).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    s.writeStream.foreachBatch(split()).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted(on_time + late) == [1, 2, 3] and set(late) <= {1, 2} and late
+    # a new one goes on from the watermark that the last one wrote
+    split()(spark.createDataFrame([(4, True, at(9)), (5, True, at(12))], RIDES), 7)
+    assert 4 in late and 5 in on_time
 
 
 def test_rules(spark, stream, tmp_path):
@@ -97,18 +100,91 @@ def test_rules(spark, stream, tmp_path):
     assert sorted(map(key, got)) == sorted(map(key, want)) == [("r1", 1, 3), ("r1", 2, 3), ("r2", 5, 6), ("r2", 6, 7)]
 
 
-def test_control_plane(spark, stream, tmp_path):
-    answers = []
-    plane = jobs.ControlPlane(spark, f"{tmp_path}/latest", lambda p, kind, df: answers.append((kind, sorted(r.ride_id for r in df.collect()))))
-    s = stream("control", [[(1, True, at(0)), (2, True, at(0)), (2, False, at(5))]], RIDES)
+def answers_of(spark, folder, answers):
+    return jobs.ControlPlane(spark, folder, lambda p, kind, df: answers.append((kind, sorted(r[0] for r in df.collect()))), delay_ms=0)
 
-    def once(batch, epoch):
-        plane(batch, epoch)
-        plane.ask("is_start")
 
-    s.writeStream.foreachBatch(once).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+def test_control_plane_outlives_a_restart(spark, stream, tmp_path):
+    answers = []
+    plane = answers_of(spark, f"{tmp_path}/latest", answers)
+    s = stream("control", [[(1, True, at(0)), (2, True, at(0)), (2, False, at(5))]], RIDES)
+    s.writeStream.foreachBatch(plane).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    plane.ask("is_start")
     plane(spark.createDataFrame([(3, True, at(6))], RIDES), 7)
-    assert answers == [("stored", [1]), ("incoming", [3])]
+    assert answers == [("asked", ["QUERY"]), ("stored", [1]), ("incoming", [3])]
+    again = answers_of(spark, f"{tmp_path}/latest", answers := [])
+    again.ask_ongoing(6)
+    again(spark.createDataFrame([(4, True, at(7)), (3, False, at(8))], RIDES), 8)
+    assert answers == [("asked", ["QUERY"]), ("stored", [1]), ("incoming", [4])]
+    # the same batch again, after a failure, finds what it found before
+    again(spark.createDataFrame([(4, True, at(7))], RIDES), 8)
+    assert answers[3:] == [("incoming", [4])] and len(again.records.epochs()) == 2
+    again.ask("unix_millis(event_time) > watermark")
+    again(spark.createDataFrame([(5, True, at(9)), (6, True, at(1))], RIDES), 9)
+    assert answers[-1] == ("incoming", [5]) and ("stored", []) in answers
     with pytest.raises(ValueError):
-        plane.ask("reflect('a')")
-        plane(spark.createDataFrame([(3, True, at(6))], RIDES), 8)
+        again.ask("reflect('a')")
+        again(spark.createDataFrame([(3, True, at(6))], RIDES), 10)
+
+
+def test_ad_hoc_distance(spark, tmp_path):
+    """A ride from Penn Station to MoMA; its END is within a kilometre of MoMA."""
+    answers = []
+    plane = answers_of(spark, f"{tmp_path}/latest", answers)
+    plane.ask("not is_start and sqrt((end_lon + 73.9776) * (end_lon + 73.9776) + (end_lat - 40.7614) * (end_lat - 40.7614)) * 110.25 < 1.0")
+    plane.ask("is_start")
+    rides = [(1, True, at(0), -73.9776, 40.7614), (1, False, at(5), -73.9776, 40.7614)]
+    plane(spark.createDataFrame(rides, RIDES + ", end_lon float, end_lat float"), 0)
+    assert [x for x in answers if x[0] == "incoming"] == [("incoming", [1])] * 2
+
+
+def test_nearest_taxis_forget(spark, tmp_path):
+    reports = []
+    new = lambda: jobs.NearestTaxis(spark, f"{tmp_path}/near", lambda df: reports.append(sorted((r.query_id, r.taxi_id) for r in df.collect())), delay_ms=0)
+    schema = RIDES + ", taxi_id long, end_lon float, end_lat float"
+    end = lambda ride, minute, taxi, lat: (ride, False, at(minute), taxi, -74.0, lat)
+    plane = new()
+    plane.ask(1, -74.0, 40.7)
+    plane(spark.createDataFrame([end(1, 0, 11, 40.9), end(2, 1, 12, 40.8), end(3, 2, 13, 40.85), (4, True, at(2), 14, -74.0, 40.7)], schema), 0)
+    plane = new()
+    plane(spark.createDataFrame([end(5, 3, 15, 40.85), end(6, 4, 16, 40.75)], schema), 1)
+    plane(spark.createDataFrame([end(7, 9 * 60, 17, 40.95)], schema), 2)
+    # eight hours without a report: the least distance is forgotten, the query stands until a message comes
+    plane(spark.createDataFrame([end(8, 9 * 60 + 1, 18, 40.99)], schema), 3)
+    plane.collect()
+    plane(spark.createDataFrame([end(9, 9 * 60 + 2, 19, 40.7)], schema), 4)
+    assert reports == [[(1, 11), (1, 12)], [(1, 16)], [], [(1, 18)], []]
+
+
+def test_retries_stop_at_other_errors():
+    def broken():
+        raise KeyError("the caller's")
+
+    with pytest.raises(KeyError):
+        jobs.run_with_retries(broken, attempts=3, wait_s=0)
+
+
+def test_popular_places_of_the_city(spark):
+    """Three starts at Penn Station and three ends at MoMA, in windows of 15 minutes every 5."""
+    penn, moma = (-73.9947, 40.750626), (-73.9776, 40.7614)
+    rows = [(i, True, at(m), *penn, *moma) for i, m in enumerate((0, 6, 14))] + [(i, False, at(15), *penn, *moma) for i in range(3)]
+    rides = spark.createDataFrame(rows, "ride_id long, is_start boolean, event_time timestamp, start_lon float, start_lat float, end_lon float, end_lat float")
+    got = sorted((r.is_start, r.window_end, r.n) for r in tr.popular_places(rides, threshold=2).collect())
+    assert got == [(False, at(20), 3), (False, at(25), 3), (False, at(30), 3), (True, at(10), 2), (True, at(15), 3), (True, at(20), 2)]
+
+
+def test_as_of_scripted_feeds(spark):
+    from streamloom.sources import ingest
+
+    got = tr.asof(ingest.simulated_trades(spark), ingest.simulated_customers(spark), "customer_id", "event_time", ["customer_info"])
+    assert [r.customer_info.split()[-1] for r in got.orderBy("event_time").collect()] == ["500", "500", "1500", "1600", "1600", "1600"]
+
+
+def test_state_snapshot_equals_the_batch_answer(spark):
+    from streamloom.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["state_snapshot"](spark, d)
+    rides, fares = (set(r.ride_id for r in f(spark, d).where(w).collect()) for f, w in ((catalogue.rides, "is_start"), (catalogue.fares, "true")))
+    rows = got.collect()
+    assert {r.ride_id for r in rows if r.saved_ride is not None} == rides - fares and {r.ride_id for r in rows if r.saved_fare is not None} == fares - rides
