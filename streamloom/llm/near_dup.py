@@ -170,10 +170,15 @@ class _Compare:
                 yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns, pa.array(firsts, pa.list_(pa.int64()))], ["leader", "node", "linked", "far", "apart", "excess", "lead", "first"])
 
 
+#: What stands right before an element goes with it: two nodes that share some of that have met there already.
+PRIOR = 8
+
+
 def _narrow(seen: DataFrame, level: int) -> DataFrame:
     """Buckets of nodes that share what sets them apart from their leader, by the rule of ``_Compare``."""
-    rows = seen.select(F.xxhash64("path", "leader").alias("path"), "node", "size", "far", "apart", "excess", "lead", F.posexplode("first").alias("at", "h"))
-    return rows.select(F.xxhash64("path", "h").alias("key"), "path", "node", "size", (F.col("at") < F.col("lead")).alias("lead"), "far", (F.col("apart") - F.col("at")).alias("rest"), "excess")
+    rows = seen.select(F.xxhash64("path", "leader").alias("path"), "node", "size", "far", "apart", "excess", "lead", "first", F.posexplode("first").alias("at", "h"))
+    prior = F.slice("first", F.greatest(F.col("at") - PRIOR + 1, F.lit(1)), F.least("at", F.lit(PRIOR)))
+    return rows.select(F.xxhash64("path", "h").alias("key"), "path", "node", "size", (F.col("at") < F.col("lead")).alias("lead"), "far", (F.col("apart") - F.col("at")).alias("rest"), "excess", prior.alias("prior"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -216,8 +221,8 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
     def compare(pairs: DataFrame) -> DataFrame:
         return beside(pairs.select("leader", "node"), "leader", "node").mapInArrow(_Compare(percent), _Compare.SCHEMA)
 
-    # a shared one at a place leaves no more than the rest of either to share
-    able = f"(x.far or y.far) and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and 2 * {100 + percent} * least(x.rest, y.rest) >= x.excess + y.excess"
+    # a shared one at a place leaves no more than the rest of either to share; two far sets meet where both lead
+    able = f"(case when x.far then not y.far or (x.lead and y.lead) else y.far end) and not arrays_overlap(x.prior, y.prior) and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and 2 * {100 + percent} * least(x.rest, y.rest) >= x.excess + y.excess"
     roots = linking.classes(buckets, compare, _narrow, verify, able, central=True)
     named = nodes.select("node", "digest", "first_id")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
