@@ -320,15 +320,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduped(docs: DataFrame, *, threshold: int = 2, chars_per_edit: int = 10) -> DataFrame:
-    """One row per document: row (a struct of its own columns), text without the lines that go, n_lines, n_gone."""
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    texts = own.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "row").withColumn("version", F.xxhash64("text"))
+    """One row per document: row (a struct of its other columns), text without the lines that go, n_lines, n_gone."""
+    others = [c for c in docs.columns if c.lower() != "text"]
+    texts = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").cast("string").alias("text"))
+    texts = texts.select("row", "text", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"))
     gone = removals(texts.select("doc_id", "text", "version"), threshold, chars_per_edit)
+    linking.release(docs.sparkSession)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "gone")
     joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
     n_lines = F.when(F.col("text").isNull(), 1).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
     rows = joined.select("row", "text", "gone", n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_gone"))
-    schema = StructType([*own.schema.fields]).add("text", "string").add("n_lines", "long").add("n_gone", "long")
+    schema = StructType([texts.schema["row"]]).add("text", "string").add("n_lines", "long").add("n_gone", "long")
     return rows.mapInArrow(_rebuild, schema)
 
 
@@ -339,10 +341,8 @@ def dedup_lines(docs: DataFrame, *, drop_emptied: bool = False, **parameters) ->
         out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_gone") == 0))
     columns = []
     for c, kind in docs.dtypes:
-        own = F.col("row").getField(c)
-        if c.lower() == "text":
-            own = F.col("text")
-        elif c.lower() == "n_chars" and drop_emptied:
+        own = F.col("text") if c.lower() == "text" else F.col("row").getField(c)
+        if c.lower() == "n_chars" and drop_emptied:
             own = F.when(F.col("n_gone") > 0, F.length("text").cast(kind)).otherwise(own)
         columns.append(own.alias(c))
     return out.select(*columns)

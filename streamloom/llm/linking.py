@@ -12,6 +12,7 @@ shares, so a lost executor costs a re-read and never the work before it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -46,6 +47,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out.coalesce(max(1, parts)) if parts < out._jdf.rdd().getNumPartitions() else out
 
 
+def release(spark) -> None:
+    """Have Spark delete the shuffle files of what nothing refers to any more, before much is shuffled again."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating star contraction; edges are (u, v) with u > v."""
     if large:
