@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 import time
 import uuid
@@ -45,6 +47,48 @@ def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def print_stream(df: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20):
+    """Start a query that prints each batch."""
+    return df.writeStream.format("console").option("numRows", rows).option("truncate", False).outputMode(mode).option("checkpointLocation", checkpoint).start()
+
+
+def write_each(df: DataFrame, sink: Callable, checkpoint: str, mode: str = "append"):
+    """Start a query that gives each row to ``sink`` on the executors: a function, or an object with process and, if it likes, open and close."""
+    return df.writeStream.foreach(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rebalanced(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, whatever partitions they came in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def counts_by_arrival(df: DataFrame, size: str = "1 second") -> DataFrame:
+    """The number of rows that came in each window of processing time."""
+    return df.withColumn("arrived", F.current_timestamp()).groupBy(F.window("arrived", size).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+
+
+def plan_of(df: DataFrame) -> str:
+    """The physical plan, as text."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def parameters(arguments: list[str], defaults: dict[str, str] | None = None) -> dict[str, str]:
+    """``--name value`` pairs of a command line; a name without a value is 'true'."""
+    out, name = dict(defaults or {}), None
+    for a in arguments:
+        if a.startswith("--") and len(a) > 2 or a.startswith("-") and len(a) > 1 and not a[1].isdigit():
+            name = a.lstrip("-")
+            out[name] = "true"
+        elif name is None:
+            raise ValueError(f"a value without a name: {a}")
+        else:
+            out[name], name = a, None
+    return out
+
+
 def run_with_retries(start: Callable[[], object], attempts: int = 60, wait_s: float = 10.0) -> None:
     """Start a query again from its checkpoint when the stream fails, up to ``attempts`` times; other errors are the caller's."""
     for attempt in range(attempts):

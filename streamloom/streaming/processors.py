@@ -149,6 +149,38 @@ class AsOf(StatefulProcessor):
         pass
 
 
+class AsOfUpdates(AsOf):
+    """As AsOf, but a trade is also answered when it comes, from the records known by then; the later answer goes out if it differs."""
+
+    OUTPUT = "customer_id long, event_time timestamp, trade string, customer string, is_final boolean"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.answers = handle.getMapState("answers", "at long", "customer string")
+
+    def _known(self, at: int) -> str | None:
+        times = [k[0] for k in self.customers.keys() if k[0] <= at]
+        return self.customers.getValue((max(times),))[0] if times else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            for _ in super().handleInputRows(key, [row], timerValues):
+                pass
+            if row.side != "customer":
+                at = _ms(row.event_time)
+                known = self._known(at)
+                self.answers.updateValue((at,), (known,))
+                yield Row(customer_id=key[0], event_time=row.event_time, trade=row.info, customer=known, is_final=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        for row in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            first = self.answers.getValue((due,))[0] if self.answers.containsKey((due,)) else None
+            self.answers.removeKey((due,))
+            if row.customer != first:
+                yield Row(customer_id=key[0], event_time=row.event_time, trade=row.trade, customer=row.customer, is_final=True)
+
+
 class LookUp(StatefulProcessor):
     """Joins a trade when it arrives to the customer record seen last; needs no time."""
 
@@ -169,30 +201,35 @@ class LookUp(StatefulProcessor):
 
 
 class TimeSort(StatefulProcessor):
-    """Emits each key's events in order of time, once the watermark has passed them."""
+    """Emits each key's events in order of time, once the watermark has passed them; those of one time as they came."""
 
     OUTPUT = "car_id string, event_time timestamp, speed double, throttle double"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_time timestamp, speed double, throttle double")
+        self.waiting = handle.getMapState("waiting", "at long", "events array<struct<event_time:timestamp,speed:double,throttle:double>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         for row in rows:
-            self.waiting.appendValue((row.event_time, row.speed, row.throttle))
+            self._keep(row)
             self.handle.registerTimer(_ms(row.event_time))
         return iter(())
 
+    def _keep(self, row) -> None:
+        at = (_ms(row.event_time),)
+        held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
+        self.waiting.updateValue(at, ([*map(tuple, held), (row.event_time, row.speed, row.throttle)],))
+
+    def _take(self, limit: int) -> list[tuple]:
+        """The events up to this time, in order, which are forgotten."""
+        out = []
+        for at in sorted(k[0] for k in self.waiting.keys() if k[0] <= limit):
+            out += map(tuple, self.waiting.getValue((at,))[0])
+            self.waiting.removeKey((at,))
+        return sorted(out, key=lambda r: r[0])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        limit = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: r[0])
-        due = [r for r in rows if _ms(r[0]) <= limit]
-        rest = [tuple(r) for r in rows[len(due) :]]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        for r in due:
+        for r in self._take(expiredTimerInfo.getExpiryTimeInMs()):
             yield Row(car_id=key[0], event_time=r[0], speed=r[1], throttle=r[2])
 
     def close(self) -> None:
@@ -206,31 +243,25 @@ class StoppedSegments(TimeSort):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         for row in rows:
-            self.waiting.appendValue((row.event_time, row.speed, row.throttle))
+            self._keep(row)
             if row.speed == 0:
                 self.handle.registerTimer(_ms(row.event_time))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        limit = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[0])
         part: list[tuple] = []
-        done = 0
-        for i, r in enumerate(rows):
+        # the last event up to a stop's time may come after the stop within its millisecond, and begin the next segment
+        for r in self._take(expiredTimerInfo.getExpiryTimeInMs()):
             if r[1] != 0:
                 part.append(r)
                 continue
-            if _ms(r[0]) > limit:
-                break
             if part:
                 mean = sum(p[2] for p in part) / len(part)
                 spread = (sum((p[2] - mean) ** 2 for p in part) / len(part)) ** 0.5
                 yield Row(car_id=key[0], start_time=part[0][0], length=len(part), max_speed=int(max(p[1] for p in part)), erraticness=spread)
-            part, done = [], i + 1
-        if rows[done:]:
-            self.waiting.put(rows[done:])
-        else:
-            self.waiting.clear()
+            part = []
+        for event_time, speed, throttle in part:
+            self._keep(Row(event_time=event_time, speed=speed, throttle=throttle))
 
 
 class TravelTime(StatefulProcessor):

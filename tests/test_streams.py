@@ -60,6 +60,40 @@ def test_asof_takes_the_record_in_force(spark, stream, tmp_path):
     assert sorted((r.trade, r.customer) for r in got.collect()) == [("t10", "c0"), ("t12", "c12"), ("t5", None)]
 
 
+def test_asof_answers_at_once_and_corrects(spark, stream, tmp_path):
+    schema = "customer_id long, event_time timestamp, info string, side string"
+    batches = [[(0, at(0), "c0", "customer"), (0, at(10), "t10", "trade")], [(0, at(5), "c5", "customer"), (0, at(12), "t12", "trade")], [(99, FAR, "x", "customer")], [(99, FAR + timedelta(days=1), "x", "customer")]]
+    s = stream("updates", batches, schema).withWatermark("event_time", "1 hour")
+    got = result(spark, jobs.with_processor(s, ["customer_id"], pr.AsOfUpdates()), tmp_path, "updates").where("customer_id = 0")
+    assert sorted((r.trade, r.customer, r.is_final) for r in got.collect()) == [("t10", "c0", False), ("t10", "c5", True), ("t12", "c5", False)]
+
+
+def test_sinks_and_plans(spark, stream, tmp_path):
+    s = stream("sink", [[(1, True, at(0)), (2, False, at(1))]], RIDES)
+    printed = jobs.print_stream(s, f"{tmp_path}/p")
+    printed.processAllAvailable()
+    assert any("Console" in p["sink"]["description"] and p["numInputRows"] for p in printed.recentProgress)
+    folder = str(tmp_path)
+
+    def sink(row):
+        with open(f"{folder}/row{row.ride_id}", "w") as f:
+            f.write("x")
+
+    jobs.write_each(s, sink, f"{tmp_path}/w").awaitTermination()
+    assert (tmp_path / "row1").exists() and (tmp_path / "row2").exists()
+    jobs.run_once(jobs.counts_by_arrival(s, "1 hour"), "arrivals", f"{tmp_path}/a", mode="update")
+    assert sum(r.n for r in spark.table("arrivals").collect()) == 2
+    assert "Scan" in jobs.plan_of(spark.read.schema(RIDES).parquet(f"{tmp_path}/sink")) and jobs.rebalanced(spark.range(10).coalesce(1)).count() == 10
+    for q in spark.streams.active:
+        q.stop()
+
+
+def test_parameters():
+    assert jobs.parameters(["--input", "x", "-speed", "-5", "--fast"], {"output": "y"}) == {"input": "x", "speed": "-5", "fast": "true", "output": "y"}
+    with pytest.raises(ValueError):
+        jobs.parameters(["x"])
+
+
 def test_segments_and_order(spark, stream, tmp_path):
     schema = "car_id string, event_time timestamp, speed double, throttle double, event_id long"
     rows = [("a", at(m), v, float(m), m) for m, v in ((3, 5.0), (1, 2.0), (2, 9.0), (4, 0.0), (5, 7.0), (6, 0.0), (7, 1.0))]
