@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -49,8 +50,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def release(spark) -> None:
     """Have Spark delete the shuffle files of what nothing refers to any more, before much is shuffled again."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of in Python, the second finds in the JVM
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -154,3 +157,5 @@ def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narro
         buckets = checkpoint(narrow(again.join(compared, ["leader", "node"], "left"), level))
         if buckets.isEmpty():
             return roots
+        del rooted, mixed, members, leaders, led, compared, left, again
+        release(buckets.sparkSession)

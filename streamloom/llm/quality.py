@@ -231,9 +231,12 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and repeated doc_ids do no harm.
     """
     rules, names = fit(docs, labels), docs.columns
-    schema = StructType([*docs.schema.fields, *(StructField(f"__stat_{c}", LongType()) for c in STATISTICS)])
-    wide = docs.mapInArrow(_Beside(names), schema)
-    stats = {c: f"__stat_{c}" for c in STATISTICS}
+    prefix = "stat_"
+    while any(c.lower().startswith(prefix) for c in names):
+        prefix = "_" + prefix
+    schema = StructType([*docs.schema.fields, *(StructField(prefix + c, LongType()) for c in STATISTICS)])
+    wide = docs.mapInArrow(_Beside(names, prefix), schema)
+    stats = {c: prefix + c for c in STATISTICS}
     kept = judge(wide.select(*(F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(names)), *(F.col(v).alias(k) for k, v in stats.items())), rules).where("kept")
     return kept.select(*(F.col(f"__own_{i}").alias(c) for i, c in enumerate(names)))
 
@@ -241,8 +244,8 @@ def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 class _Beside:
     """Passes whole rows on, with the statistics of their text beside them."""
 
-    def __init__(self, names: list[str]):
-        self.at = {c.lower(): i for i, c in enumerate(names)}
+    def __init__(self, names: list[str], prefix: str):
+        self.at, self.prefix = {c.lower(): i for i, c in enumerate(names)}, prefix
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,4 +255,4 @@ class _Beside:
             for got in _measure(iter([pair])):
                 part = batch.slice(start, got.num_rows)
                 start += got.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, *got.columns[1:]], [*part.schema.names, *(f"__stat_{c}" for c in STATISTICS)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *got.columns[1:]], [*part.schema.names, *(self.prefix + c for c in STATISTICS)])
