@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from streamloom.llm import chat, decontam, html, line_dedup, linking, near_dup, packing, pii, quality, secrets, suffix_dedup
+from streamloom.llm import chat, decontam, difference_cover, html, line_dedup, linking, near_dup, packing, pii, quality, secrets, suffix_dedup
 from streamloom.llm.queries import ORACLE_SQL, QUERIES
 from streamloom.llm.text import slices
 
@@ -308,18 +308,19 @@ def test_battery_parts_random_from_regular(spark):
 def test_false_discovery_rate_acts(spark):
     """Among many ordinary tokens, doubtful ones are no discoveries; few by themselves are."""
     r = random.Random(5)
-    letters = PROSE.replace(" ", "")
-    ordinary = ["".join(r.choice(letters) for _ in range(20)) for _ in range(600)]
-    mixed = ["".join(r.choice(letters if r.random() < 0.85 else secrets.ALPHABETS["base64"]) for _ in range(20)) for _ in range(40)]
-    secret = ["".join(r.choice(secrets.ALPHABETS["base64"]) for _ in range(24)) for _ in range(10)]
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    bag = lower * 3 + upper * 2 + digits
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    ordinary, doubtful, secret = [draw(bag, 20) for _ in range(600)], [draw(lower + upper + digits * 2, 20) for _ in range(60)], [draw(digits + lower + upper + digits, 28) for _ in range(10)]
 
     def reported(tokens):
-        rows = [(i, f"{PROSE} {x} {PROSE}") for i, x in enumerate(tokens)]
-        return {tokens[r.doc_id] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.more}
+        rows = [(i, f"{' '.join(draw(bag, 6) for _ in range(30))} {x} ") for i, x in enumerate(tokens)]
+        return {tokens[q.doc_id] for q in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if q.more}
 
-    few, many = reported(mixed + secret), reported(mixed + secret + ordinary)
-    assert many < few | many and few - many and len(many & set(secret)) >= 7
-    assert len(many - set(secret) - set(mixed)) <= 0.1 * len(many) + 2
+    few, many = reported(doubtful + secret), reported(doubtful + secret + ordinary)
+    found = lambda tokens: len(tokens - set(ordinary))
+    assert 0 < found(many) < found(few)
+    assert len(many & set(ordinary)) <= 0.2 * len(many) + 2
 
 
 def test_quality(spark, odd, documents):
@@ -466,6 +467,19 @@ def test_suffix_order():
             assert suffix_dedup.difference_cover_order(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
 
 
+def test_difference_cover_distributed(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (9, 30)] + [None, "", "abab"]
+    symbols = [ord(c) for c in texts[1]]
+    ranks = difference_cover.suffix_ranks(spark.createDataFrame(list(enumerate(symbols)), "place long, symbol long"), len(symbols)).collect()
+    assert [x.place for x in sorted(ranks, key=lambda x: x["rank"])] == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+    df = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
+    count = collections.Counter(t[p : p + 5] for t in texts if t for p in range(len(t) - 4))
+    want = {(k, p) for k, t in enumerate(texts) if t for p in range(len(t) - 4) if count[t[p : p + 5]] > 1}
+    assert {(x.number, x.at) for x in difference_cover.repeated(df, 5).collect()} == want
+    assert difference_cover.repeated(df.limit(0), 5).count() == 0
+
+
 def removed(rows):
     seen, texts = collections.defaultdict(list), [(i, (x or "").encode()) for i, x in rows]
     for k, (_, b) in enumerate(texts):
@@ -553,6 +567,42 @@ def test_html_does_not_depend_on_chunks_or_partitions(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+CLASHING = "row version gone n_gone n_lines gone_id hit_id doc node key root stat_n_words __own_0 __doc_id kept".split()
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns that are named like helpers."""
+    import corpus_pipeline
+
+    wide = lambda df: df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *(F.lit(i).alias(c) for i, c in enumerate(CLASHING)))
+    for df in (wide(odd), wide(empty)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, DATA)
+            assert out.columns == df.columns, name
+            got = out.collect()
+            assert len(got) <= df.count() and all(r[c] == i for r in got for i, c in enumerate(CLASHING)), name
+            if name == "line_dedup":
+                assert {r.text for r in got if r.doc_id == 5} <= {"a b c", "A B C", ""} and all(r.n_chars in (None, len(r.text)) for r in got)
+            if name == "benchmark_decontamination":
+                assert len(got) == df.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, df, DATA).count() >= df.count()
+
+
+def test_pipeline_runs(spark):
+    """run() gives the pieces of its last stage; every document it packs came through the stages before."""
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, DATA).collect()
+    known = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    by = collections.defaultdict(list)
+    for p in pieces:
+        by[p.sequence_id].append((p.offset, p.length))
+    assert {p.doc_id for p in pieces} <= known and len({p.doc_id for p in pieces}) > 0.3 * len(known)
+    for s in by.values():
+        s.sort()
+        assert all(o == sum(n for _, n in s[:k]) for k, (o, _) in enumerate(s)) and sum(n for _, n in s) <= 1024
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 
