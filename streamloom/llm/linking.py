@@ -56,16 +56,17 @@ def release(spark) -> None:
         time.sleep(0.5)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star contraction; edges are (u, v) with u > v."""
+def _star(edges: DataFrame, large: bool, alone: bool) -> DataFrame:
+    """One step of the alternating star contraction; edges are (u, v) with u > v, and stay ``alone`` in one part if they are."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         near = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = near.unionByName(least.select("u", F.col("m").alias("v")))
+        out = out.coalesce(1) if alone else out
     return out.where("u <> v").distinct()
 
 
@@ -82,7 +83,8 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0] or tuple(now) == seen:
             break
         seen = tuple(now)
-        edges = checkpoint(_star(_star(edges, True), False))
+        alone = edges._jdf.rdd().getNumPartitions() == 1
+        edges = checkpoint(_star(_star(edges, True, alone), False, alone))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
