@@ -280,16 +280,28 @@ def line_classes(texts: DataFrame, lines: DataFrame, firsts: DataFrame, threshol
         found = verify(pairs.where(alike.format("leader_size", "size")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
         return found.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
 
-    def narrow(seen: DataFrame, level: int) -> DataFrame:
-        """Buckets by parts of the sketches, one more than bits that a link may change."""
+    def cut(level: int) -> tuple[str, int, int]:
+        """Sketch, number and width of the parts of a round: one part more than bits that a link may change."""
         sketch, parts = ("s0", 2 * threshold + 1) if level == 1 else ("s1", 4 * threshold + 1)
-        width = -(-64 // parts)
+        return sketch, parts, -(-64 // parts)
+
+    def narrow(seen: DataFrame, level: int) -> DataFrame:
+        """Buckets by parts of the sketches."""
+        sketch, parts, width = cut(level)
         part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
         rows = seen.select(F.xxhash64("path", "leader").alias("path"), "node", "size", part.alias("part"))
         bits = F.expr(f"shiftrightunsigned(size.{sketch}, part * {width}) & {(1 << width) - 1}L")
-        return rows.select(F.xxhash64("path", "part", bits).alias("key"), "path", "node", "size", F.lit(True).alias("lead")).distinct()
+        keyed = rows.select(F.xxhash64("path", "part", bits).alias("key"), "path", "node", "size", F.lit(True).alias("lead"), F.lit(level).alias("round"), "part")
+        return keyed.distinct()
+
+    def first_part(level: int) -> str:
+        """Whether two rows are in the first of the parts that they have alike: there they are tried."""
+        sketch, parts, width = cut(level)
+        differ = f"shiftrightunsigned(x.size.{sketch} ^ y.size.{sketch}, %d) & {(1 << width) - 1}L"
+        return " and ".join(f"(x.part <= {p} or ({differ % (p * width)}) <> 0)" for p in range(parts - 1))
 
-    return linking.classes(buckets, compare, narrow, verify, alike.format("x.size", "y.size"), levels=2)
+    able = f"{alike.format('x.size', 'y.size')} and case when x.round = 1 then {first_part(1)} else {first_part(2)} end"
+    return linking.classes(buckets, compare, narrow, verify, able, levels=2)
 
 
 def removals(texts: DataFrame, threshold: int, chars_per_edit: int) -> DataFrame:
