@@ -306,7 +306,7 @@ def line_classes(texts: DataFrame, lines: DataFrame, firsts: DataFrame, threshol
 
 def removals(texts: DataFrame, threshold: int, chars_per_edit: int) -> DataFrame:
     """(doc_id, version, gone): the numbers of the lines that go; a version is the hash of a text."""
-    lines = linking.checkpoint(texts.mapInArrow(_Read(threshold, chars_per_edit), _Read.SCHEMA))
+    lines = linking.stored(texts.mapInArrow(_Read(threshold, chars_per_edit), _Read.SCHEMA))
     place = F.struct("doc_id", "line_no", "version")
     firsts = lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     roots = line_classes(texts, lines, firsts, threshold, chars_per_edit)

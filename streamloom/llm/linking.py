@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out.coalesce(max(1, parts)) if parts < out._jdf.rdd().getNumPartitions() else out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: for wide rows of which steps read a few columns each."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark) -> None:
     """Have Spark delete the shuffle files of what nothing refers to any more, before much is shuffled again."""
     for _ in range(2):  # what the first round lets go of in Python, the second finds in the JVM
