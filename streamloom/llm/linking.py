@@ -21,7 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of a narrower bucket of up to this many nodes are tried at once; in every further round, of up to GROWTH times
+#: Pairs of a bucket of up to this many nodes are tried at once: of narrower ones and, where an operator says which of
+#: their pairs may be links, of what first ones hold besides their leader. In every further round it is of up to GROWTH times
 #: as many, since what is left then is little and rounds cost more than pairs.
 FEW, GROWTH = 64, 4
 
@@ -117,7 +118,7 @@ def _merge(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
     return checkpoint(moved.unionByName(new))
 
 
-def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], able: str, central: bool = False, levels: int | None = None) -> DataFrame | None:
+def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narrow: Callable[[DataFrame, int], DataFrame], verify: Callable[[DataFrame], DataFrame], able: str, central: bool = False, levels: int | None = None, alike: str | None = None) -> DataFrame | None:
     """(node, root) of all nodes that have a link to another; None if no node has.
 
     ``buckets`` has key, node, size, lead (rows that may lead; two rows that may not are no candidates).
@@ -126,7 +127,8 @@ def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narro
     ``compare`` gave) of the buckets still mixed and gives narrower ones: key, path, node, size, lead and what
     ``able`` asks. ``able`` is SQL over two rows x and y of a narrower bucket that a link of theirs satisfies,
     and ``verify`` returns those of pairs (a, b) that are links. With ``central``, the node with the most
-    company leads: copies of one text share more buckets with it than with each other.
+    company leads: copies of one text share more buckets with it than with each other. ``alike`` is SQL over two
+    rows of a bucket (node, size) that a link satisfies; with it, small first buckets are never narrowed.
 
     A path is the leaders that a bucket's nodes were compared with, none of which is among them, so buckets
     of one path shrink with every round and the rounds end. An operator that cannot narrow buckets more than
@@ -161,8 +163,18 @@ def classes(buckets: DataFrame, compare: Callable[[DataFrame], DataFrame], narro
         compared = checkpoint(compare(led.select("leader", "node", "leader_size", "size").distinct()))
         roots = _merge(roots, compared.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b")))
         left = _rooted(led, roots)
-        mixed = left.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key")
-        again = left.join(mixed, "key").select("path", "leader", "node", "size").distinct()
+        mixed = left.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("p"), F.max("root").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key", "n")
+        again = left.join(mixed, "key")
+        if alike and not level:
+            again = checkpoint(again)
+            few = again.where(F.col("n") <= FEW).select("key", "node", "size", "root", "lead")
+            x, y = few.alias("x"), few.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.lead") | F.col("y.lead")) & F.expr(alike))
+            pairs = checkpoint(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+            if not pairs.isEmpty():
+                roots = _merge(roots, checkpoint(verify(pairs)))
+            again = again.where(F.col("n") > FEW)
+        again = again.select("path", "leader", "node", "size").distinct()
         level += 1
         buckets = checkpoint(narrow(again.join(compared, ["leader", "node"], "left"), level))
         if buckets.isEmpty():

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from streamloom.llm import linking
 from streamloom.llm.text import mix, shingles, slices
 
-#: Ids of texts to be read again are sent to all tasks up to this many (8 bytes each); beyond, texts are shuffled.
+#: Ids of texts to be read again or dropped, and of pairs to be confirmed, are sent to all tasks up to this many (up to
+#: 32 bytes each); beyond, texts or sets are shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -202,18 +203,25 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
         chosen = linking.checkpoint(nodes.select("node", "digest", "first_id").join(tried, "node"))
         count = chosen.count()
         if count or "sets" not in held:
-            wanted = chosen.select(F.col("first_id").alias("wanted")).distinct()
+            wanted, named = chosen.select(F.col("first_id").alias("wanted")).distinct(), chosen.select("node", "digest")
             if count <= MAX_BROADCAST_ROWS:
-                wanted = F.broadcast(wanted)
+                wanted, named = F.broadcast(wanted), F.broadcast(named)
             found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_Sets(k), "digest binary, shingles binary")
-            found = linking.checkpoint(found.join(chosen.select("node", "digest"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles")))
+            found = linking.checkpoint(found.join(named, "digest").select("node", "shingles"))
+            if found.count() > count:  # rows of one doc_id, or of none, gave a set more than once
+                found = linking.checkpoint(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
             held["sets"] = found.unionByName(held["sets"]) if "sets" in held else found
         return held["sets"]
 
     def beside(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        sets = fetch(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct())
-        x, y = sets.select(F.col("node").alias(a), F.col("shingles").alias("x")), sets.select(F.col("node").alias(b), F.col("shingles").alias("y"))
-        return pairs.join(y, b).join(x, a).select(a, b, "x", "y")
+        """Pairs with the sets of both: ids go to where the sets lie, and sets are shuffled once, by ``a``."""
+        pairs = linking.checkpoint(pairs.select(a, b))
+        sets, firsts = fetch(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct()), pairs.select(a).distinct()
+        if pairs.count() <= MAX_BROADCAST_ROWS:
+            pairs, firsts = F.broadcast(pairs), F.broadcast(firsts)
+        y = sets.select(F.col("node").alias(b), F.col("shingles").alias("y")).join(pairs, b)
+        x = sets.select(F.col("node").alias(a), F.col("shingles").alias("x")).join(firsts, a, "left_semi")
+        return y.join(x, a).select(a, b, "x", "y")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return beside(pairs, "a", "b").mapInArrow(_Confirm(percent), "a long, b long")
@@ -223,7 +231,8 @@ def _judged(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Dat
 
     # a shared one at a place leaves no more than the rest of either to share; two far sets meet where both lead
     able = f"(case when x.far then not y.far or (x.lead and y.lead) else y.far end) and not arrays_overlap(x.prior, y.prior) and 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and 2 * {100 + percent} * least(x.rest, y.rest) >= x.excess + y.excess"
-    roots = linking.classes(buckets, compare, _narrow, verify, able, central=True)
+    alike = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
+    roots = linking.classes(buckets, compare, _narrow, verify, able, central=True, alike=alike)
     named = nodes.select("node", "digest", "first_id")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -241,6 +250,8 @@ def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, band
     """
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     texts = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("version"))
-    gone = _judged(docs, k, percent, bands, rows).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct()
+    gone = linking.checkpoint(_judged(docs, k, percent, bands, rows).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct())
+    if gone.count() <= MAX_BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     left = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left_anti")
     return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

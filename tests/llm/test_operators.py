@@ -126,6 +126,31 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert {q.doc_id: q.component_id for q in got} == dict(enumerate(want))
 
 
+def test_small_buckets_are_not_narrowed(spark, monkeypatch):
+    """Nodes of a first bucket that its leader does not settle are tried at once where they are few."""
+    words = [f"w{i}" for i in range(60)]
+    far = words[:30] + [f"v{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(far)), (3, " ".join([*far[:-1], "z"])), (4, " ".join([*words[:-1], "y"]))]
+    narrowed = []
+    own = near_dup._narrow
+    monkeypatch.setattr(near_dup, "_narrow", lambda seen, level: narrowed.append(seen.count()) or own(seen, level))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=85, rows=1)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+    assert not any(narrowed)
+
+
+def test_dropping_few_documents_shuffles_no_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+        out = near_dup.drop_near_duplicates(docs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_hot_segment_loses_no_link(spark, monkeypatch):
     """Lines with two thirds in common: a segment's bucket holds them all."""
     monkeypatch.setattr(linking, "FEW", 3)
