@@ -43,6 +43,9 @@ from streamloom.llm.text import _BASE, _BASE_INV, _power, mix, slices
 #: Shared keys, and ids of documents to read again, go to all tasks only up to this many (8 bytes each); beyond, what they are joined with is shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 
+#: Keys are looked through for shared ones in so many parts, one after another: the shuffle of one is let go before the next.
+KEY_PARTS = 3
+
 _POINTS = mix(np.arange(1, 1 + (1 << 16), dtype=np.uint64))
 _PARITY = np.uint64(1) << (_POINTS & np.uint64(63))
 
@@ -254,13 +257,21 @@ def _joined(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> Da
 
 
 def line_classes(texts: DataFrame, lines: DataFrame, firsts: DataFrame, threshold: int, chars_per_edit: int) -> DataFrame | None:
-    """(node, root) of lines with a near line."""
+    """(node, root) of lines with a near line; the table ``lines`` is deleted once its keys have been read."""
     keyed = lines.where("own is not null").select("node", "s0", "s1", "own", "probes")
     keys = keyed.select("node", F.explode("own").alias("key"), F.lit(True).alias("lead")).unionByName(keyed.select("node", F.explode("probes").alias("key"), F.lit(False).alias("lead")))
-    shared = keys.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.max("lead").alias("any")).where("p <> q and any").select("key")
+    shared = None
+    for i in range(KEY_PARTS):
+        part = keys.where(F.pmod("key", F.lit(KEY_PARTS)) == i).groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.max("lead").alias("any"))
+        part = linking.checkpoint(part.where("p <> q and any").select("key"))
+        linking.release(texts.sparkSession)
+        shared = shared.unionByName(part) if shared else part
     met = _joined(keys, shared, "key").groupBy("key", "node").agg(F.max("lead").alias("lead"))
     sizes = keyed.groupBy("node").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1"))
     buckets = linking.checkpoint(met.join(sizes, "node").select("key", "node", F.struct("s0", "s1").alias("size"), "lead"))
+    del keyed, keys, part, shared, met, sizes
+    linking.discard(lines)
+    linking.release(texts.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = linking.checkpoint(pairs)
@@ -306,10 +317,11 @@ def line_classes(texts: DataFrame, lines: DataFrame, firsts: DataFrame, threshol
 
 def removals(texts: DataFrame, threshold: int, chars_per_edit: int) -> DataFrame:
     """(doc_id, version, gone): the numbers of the lines that go; a version is the hash of a text."""
-    lines = linking.stored(texts.mapInArrow(_Read(threshold, chars_per_edit), _Read.SCHEMA))
+    keyed = linking.stored(texts.mapInArrow(_Read(threshold, chars_per_edit), _Read.SCHEMA))
+    lines = linking.stored(keyed.select("doc_id", "version", "line_no", "node"))
     place = F.struct("doc_id", "line_no", "version")
-    firsts = lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    roots = line_classes(texts, lines, firsts, threshold, chars_per_edit)
+    firsts = linking.stored(lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    roots = line_classes(texts, keyed, firsts, threshold, chars_per_edit)
     if roots is None:
         stays = firsts.where("not first <=> last").select("node", F.col("first").alias("stays"))
     else:

@@ -57,6 +57,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` that nothing will read any more."""
+    jvm, folders = df.sparkSession._jvm, {name.rpartition("/")[0] for name in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark) -> None:
     """Have Spark delete the shuffle files of what nothing refers to any more, before much is shuffled again."""
     for _ in range(2):  # what the first round lets go of in Python, the second finds in the JVM

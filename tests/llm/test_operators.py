@@ -478,6 +478,26 @@ def test_line_dedup_takes_two_edits_by_default(spark):
     assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
+def test_line_keys_are_let_go(spark, monkeypatch):
+    """The table of keys is deleted before classes are made, and keys are looked through part by part."""
+    seen, parts = [], []
+    own, classes, release = linking.stored, linking.classes, linking.release
+    monkeypatch.setattr(linking, "stored", lambda df: seen.append(own(df)) or seen[-1])
+    monkeypatch.setattr(linking, "release", lambda session: parts.append(1) or release(session))
+
+    def spy(*args, **named):
+        folder = seen[0].inputFiles()[0].rpartition("/")[0]
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        assert not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        assert len(parts) > line_dedup.KEY_PARTS
+        return classes(*args, **named)
+
+    monkeypatch.setattr(linking, "classes", spy)
+    docs = spark.createDataFrame([(1, "one line of some length here\nshort"), (2, "one line of sume length here\nother"), (3, "short")], "doc_id long, text string")
+    out = {r.row.doc_id: (r.text, r.n_gone) for r in line_dedup.deduped(docs).collect()}
+    assert out == {1: ("one line of some length here\nshort", 0), 2: ("other", 1), 3: ("", 1)}
+
+
 def test_line_dedup_odd(odd, empty):
     assert line_dedup.dedup_lines(odd).count() == len(ODD)
     assert line_dedup.dedup_lines(empty).count() == 0
